@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .sharding import op10_sharding
+from .toxicity import op8_toxicity
 from .tokencount import op2_token_counts
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op10_sharding": op10_sharding,
     }
 
