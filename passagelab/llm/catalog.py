@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .tokencount import op2_token_counts
@@ -10,6 +11,7 @@ from .tokencount import op2_token_counts
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_toxicity": op8_toxicity,
         "op10_sharding": op10_sharding,
     }
