@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import op7_embedding_dedup
 from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
         "op10_sharding": op10_sharding,
     }
