@@ -7,10 +7,12 @@ from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .tokencount import op2_token_counts
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
         "op2_token_counts": op2_token_counts,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
@@ -20,4 +22,6 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {}
+    return {
+        "op1_warc": OP1_SQL,
+    }
