@@ -6,6 +6,7 @@ from .embeddings import op7_embedding_dedup
 from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
+from .substrings import op4_substring_dedup
 from .tokencount import op2_token_counts
 from .warc import OP1_SQL, op1_warc
 
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_token_counts": op2_token_counts,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
