@@ -7,6 +7,7 @@ from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .substrings import op4_substring_dedup
+from .suffixes import op9_suffix_array_dedup
 from .tokencount import op2_token_counts
 from .warc import OP1_SQL, op1_warc
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_sharding": op10_sharding,
     }
 

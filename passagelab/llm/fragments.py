@@ -151,14 +151,21 @@ class Chunk:
         if n >= kind.length:
             valid[: n - kind.length + 1] = self.doc[: n - kind.length + 1] == self.doc[kind.length - 1 :]
         self.windows = np.flatnonzero(valid)
-        minima = sliding_minima(self.roll.runs(None, kind.gram), kind.length - kind.gram + 1)
-        self.anchors = minima[self.windows]
+        grams = self.roll.runs(None, kind.gram)
+        self.anchors = sliding_minima(grams, kind.length - kind.gram + 1)[self.windows]
+        self.begins = grams[self.windows] == self.anchors
 
     def anchor_runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Runs of neighbouring windows with one anchor: where they begin, and the scrambled anchor."""
         at = run_starts(self.windows, self.anchors, self.doc[self.windows])
         return at, mixed(self.anchors[at] + U(1))
 
+    def anchors_again(self) -> np.ndarray:
+        """Scrambled anchors that return within their run: of windows that begin with theirs and whose next has it, too."""
+        next_too = np.zeros(len(self.windows), bool)
+        next_too[:-1] = (self.windows[1:] == self.windows[:-1] + 1) & (self.anchors[1:] == self.anchors[:-1])
+        return mixed(self.anchors[self.begins & next_too] + U(1))
+
     def both(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the windows."""
         second = Rolling(self.second_values(), BASES[1])
@@ -198,7 +205,7 @@ def anchor_bitmap(rows: DataFrame, kind: Kind, groups: int, sketch: Callable | N
     def noted(batches):
         anchors, totals = [], None
         for chunk, _, _ in _chunks(batches, kind):
-            anchors.append(chunk.anchor_runs()[1] >> U(64 - ANCHOR_BITS))
+            anchors.append(np.r_[chunk.anchor_runs()[1], chunk.anchors_again()] >> U(64 - ANCHOR_BITS))
             if sketch is not None:
                 s = sketch(chunk)
                 totals = s if totals is None else totals + s
