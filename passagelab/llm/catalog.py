@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import op7_embedding_dedup
+from .minhash import op5_minhash_dedup
 from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_warc": op1_warc,
         "op2_token_counts": op2_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_toxicity": op8_toxicity,
