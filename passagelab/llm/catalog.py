@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .decontamination import OP3_SQL, op3_decontamination
 from .embeddings import op7_embedding_dedup
 from .minhash import op5_minhash_dedup
 from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
-from .substrings import op4_substring_dedup
+from .substrings import OP4_SQL, op4_substring_dedup
 from .suffixes import op9_suffix_array_dedup
 from .tokencount import op2_token_counts
 from .warc import OP1_SQL, op1_warc
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_token_counts": op2_token_counts,
+        "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_sentencepiece": op6_sentencepiece,
@@ -30,4 +32,6 @@ def queries() -> dict:
 def oracles() -> dict:
     return {
         "op1_warc": OP1_SQL,
+        "op3_decontamination": OP3_SQL,
+        "op4_substring_dedup": OP4_SQL,
     }

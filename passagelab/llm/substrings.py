@@ -132,3 +132,16 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated 13-word passages of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_words(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13),
+k as (select doc_id, s, array_to_string(w[s : s + 12], ' ') as t from p),
+f as (select t, min(doc_id) as first from k group by t),
+g as (select distinct doc_id, unnest(range(s, s + 13)) as i from k join f using (t) where f.first < k.doc_id),
+u as (select doc_id, w[i] as word, i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+r as (select u.doc_id, count(*) as kept, string_agg(u.word, ' ' order by u.i) as t from u anti join g on g.doc_id = u.doc_id and g.i = u.i group by u.doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(r.kept, 0) as bigint) as n_removed, sha256(coalesce(r.t, '')) as kept_sha256
+from d left join r using (doc_id)
+"""
