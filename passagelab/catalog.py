@@ -1,11 +1,205 @@
-"""Registered queries of the first-passage engine and their oracle SQL."""
+"""Registered queries of the first-passage engine and their oracle SQL.
+
+The series are made of ``events``: the time is ``event_id``, the value ``value``
+with two digits; ``missing`` variants take values of type ``error`` as missing.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.grid import linear_grid, log_grid, on_grid, quantize
+from .operators import diagnostics, distribution, gaps, passage, prepare
+
+DIGITS = 2
+DELTAS = ["5", "50", "200"]
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def grid_series(spark, sf_dir, *keys) -> DataFrame:
+    return events(spark, sf_dir).select(*keys, F.col("event_id").alias("t"), quantize(F.col("value"), DIGITS).alias("q"))
+
+
+def raw_series(spark, sf_dir, *keys) -> DataFrame:
+    """Rows with missing values, numbered from 1."""
+    e = events(spark, sf_dir)
+    return e.select(*keys, (F.col("event_id") + 1).alias("row"), F.col("event_id").alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("x"))
+
+
+def observed_series(spark, sf_dir, *keys) -> DataFrame:
+    return raw_series(spark, sf_dir, *keys).where("x IS NOT NULL").select(*keys, "t", quantize(F.col("x"), DIGITS).alias("q"))
+
+
+def flagship(spark, sf_dir) -> DataFrame:
+    """Distributions of three thresholds over all events."""
+    s = grid_series(spark, sf_dir)
+    w = passage.first_passage(s, DELTAS, DIGITS)
+    return distribution.empirical_distribution(gaps.classify(w, gaps.detect_gaps(s)))
+
+
+Q = "cast(round_even(round_even(value*100,0)/100*100,0) as bigint)"
+D = "d(d,delta) as (values (500,'5.00'),(5000,'50.00'),(20000,'200.00'))"
+S = f"s as (select event_id t, {Q} q, row_number() over (order by event_id) n from events)"
+W = "w as (select d.delta, d.d, a.n, a.t, a.q, coalesce(min(b.t)-a.t,0) tau from d cross join s a left join s b on b.t>a.t and b.q>=a.q+d.d group by d.delta,d.d,a.n,a.t,a.q)"
+WAITS_SQL = f"with {S}, {D}, {W} select delta, d, n, t, q, tau from w"
+KS = f"s as (select user_id, event_id t, {Q} q, row_number() over (partition by user_id order by event_id) n from events)"
+KW = "w as (select a.user_id, d.delta, d.d, a.n, a.t, a.q, coalesce(min(b.t)-a.t,0) tau from d cross join s a left join s b on b.user_id=a.user_id and b.t>a.t and b.q>=a.q+d.d group by a.user_id,d.delta,d.d,a.n,a.t,a.q)"
+RAW = "r as (select event_id+1 as \"row\", event_id t, case when event_type<>'error' then value end x from events)"
+OBS = f"{RAW}, s as (select t, cast(round_even(round_even(x*100,0)/100*100,0) as bigint) q, row_number() over (order by t) n from r where x is not null)"
+GAP = "g as (select b+1 as start, t as stop from (select t, lag(t) over (order by t) b from s) where t-b>1)"
+CLS = f"""{OBS}, {GAP}, {D}, {W},
+gn as (select s.n, min(g.start) gs from s left join g on g.start>s.t group by s.n),
+gl as (select g.start, max(s.t) lt from g join s on s.t<g.start group by g.start),
+c as (select w.delta, w.n, w.t, w.tau,
+  cast(case when tau=0 then 3 when gs is not null and gs<w.t+tau then 2 else 1 end as integer) as class,
+  case when tau=0 then coalesce(gl.lt,(select max(t) from s))-w.t when gs is not null and gs<w.t+tau then gl.lt-w.t else tau end as lower,
+  case when tau=0 then 9223372036854775807 else tau end as upper
+  from w join gn using(n) left join gl on gl.start=gn.gs),
+k as (select * from c where n < (select max(n) from s))"""
+DIST_TAIL = """h as (select delta, tau, count(*) as count, count(*) filter (class=1) as count_exact, count(*) filter (class=2) as count_gap_crossing from kk group by delta, tau)
+select delta, tau, count, cast(count as double)/cast(sum(count) over (partition by delta) as double) as pmf,
+ cast(sum(count) over (partition by delta order by tau) as double)/cast(sum(count) over (partition by delta) as double) as cdf,
+ 1.0-cast(sum(count) over (partition by delta order by tau) as double)/cast(sum(count) over (partition by delta) as double) as ccdf,
+ count_exact, count_gap_crossing from h"""
+
+
+def _waits(strategy):
+    return lambda s, d: passage.first_passage(grid_series(s, d), DELTAS, DIGITS, strategy=strategy)
+
+
+def _classified(s, d):
+    o = observed_series(s, d)
+    return gaps.classify(passage.first_passage(o, DELTAS, DIGITS), gaps.detect_gaps(o))
+
+
+def _user_waits(strategy):
+    return lambda s, d: passage.first_passage(grid_series(s, d, "user_id"), DELTAS, DIGITS, ["user_id"], strategy)
+
+
+def _segments(s, d):
+    o = observed_series(s, d)
+    return gaps.segment_table(o, gaps.detect_gaps(o))
+
+
+def _describe(s, d):
+    o = observed_series(s, d)
+    return gaps.describe(o, gaps.detect_gaps(o))
+
+
+def _tied(spark, sf_dir) -> DataFrame:
+    """Events on a minute axis, with equal times."""
+    e = events(spark, sf_dir)
+    return e.select((F.col("event_id") + 1).alias("row"), F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("x"))
+
+
+def _user_raw(s, d):
+    return raw_series(s, d, "user_id")
+
+
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Values to digits that neither the order of a sum nor the math library moves."""
+    return df.withColumn("x", F.round("x", digits))
+
+
+def _index_axis(s, d):
+    return gaps.index_axis(raw_series(s, d), None)
+
+
+def _gaps_declared(s, d):
+    o = observed_series(s, d)
+    own = o.sparkSession.createDataFrame([(100, 103, "session", "a"), (200, 240, "hole", "b")], "start long, stop long, kind string, source string")
+    return gaps.declare_gaps(gaps.detect_gaps(o), own)
+
+
+def _thresholds(s, d):
+    rows = [("linear", x.d, str(x)) for x in linear_grid(0, 5, 0.25, DIGITS)] + [("log", x.d, str(x)) for x in log_grid(0.1, 1000, 5, DIGITS)]
+    return s.createDataFrame(rows, "kind string, d long, delta string")
+
+
+def _registry() -> dict:
+    dist = distribution.empirical_distribution
+    raw = raw_series
+    found = {
+        "flagship_distribution": (flagship, f"with {S}, {D}, {W}, kk as (select delta, tau, 1 as class from w where tau>0), {DIST_TAIL}"),
+        "quantize": (grid_series, f"select event_id t, {Q} q from events"),
+        "on_grid": (lambda s, d: events(s, d).select("event_id", on_grid(F.col("value"), 1).alias("fits")), "select event_id, abs(value*10-round_even(value*10,0))<=1e-6 as fits from events"),
+        "suffix_maximum": (lambda s, d: passage.suffix_maximum(grid_series(s, d)), f"with {S} select t, q, max(q) over (order by t rows between current row and unbounded following) suffix_max from s"),
+    }
+    for name in ("guarded", "block", "segment_tree", "sweep", "streaming", "tiles", "theta"):
+        found[f"first_passage_{name}"] = (_waits(name), WAITS_SQL)
+    for name in ("auto", "tiles", "block"):
+        found[f"first_passage_keyed_{name}"] = (_user_waits(name), f"with {KS}, {D}, {KW} select user_id, delta, d, n, t, q, tau from w")
+    found |= {
+        "first_passage_zero": (lambda s, d: passage.first_passage(grid_series(s, d), "0", DIGITS), f"with {S}, d(d,delta) as (values (0,'0.00')), {W} select delta, d, n, t, q, tau from w"),
+        "scan_work": (lambda s, d: passage.scan_work(passage.first_passage(grid_series(s, d), DELTAS, DIGITS)), f"with {S}, {D}, {W} select w.delta, cast(sum(case when w.tau>0 then b.n-w.n else (select max(n) from s)-w.n end) as bigint) as work from w left join s b on b.t=w.t+w.tau and w.tau>0 group by w.delta"),
+        "detect_gaps": (lambda s, d: gaps.detect_gaps(observed_series(s, d)).select("start", "stop", "kind"), f"with {OBS}, {GAP} select start, stop, 'detected' as kind from g"),
+        "gap_table": (lambda s, d: gaps.gap_table(gaps.detect_gaps(observed_series(s, d))).select("start", "stop", "length"), f"with {OBS}, {GAP} select start, stop, stop-start as length from g"),
+        "declare_gaps": (_gaps_declared, None),
+        "classify": (lambda s, d: _classified(s, d).select("delta", "n", "t", "tau", "class", "lower", "upper"), f"with {CLS} select delta, n, t, tau, class, lower, upper from c"),
+        "class_totals": (lambda s, d: gaps.class_totals(_classified(s, d)), f"with {CLS} select delta, count(*) n_candidates, count(*) filter (class=1) n_exact, count(*) filter (class=2) n_gap_crossing, count(*) filter (class=3) n_right_censored from k group by delta"),
+        "distribution_elapsed": (lambda s, d: dist(_classified(s, d)), f"with {CLS}, kk as (select * from k where class<=2), {DIST_TAIL}"),
+        "distribution_exact": (lambda s, d: dist(_classified(s, d), mode="exact"), f"with {CLS}, kk as (select * from k where class=1), {DIST_TAIL}"),
+        "distribution_horizon": (lambda s, d: dist(_classified(s, d), horizon=40), f"with {CLS}, kk as (select * from k where class<=2 and tau<=40), {DIST_TAIL}"),
+        "accounting_horizon": (lambda s, d: distribution.accounting(_classified(s, d), horizon=40), f"with {CLS}, kk as (select delta, case when tau>40 then 3 else class end as class from k) select delta, count(*) n_candidates, count(*) filter (class=1) n_exact, count(*) filter (class=2) n_gap_crossing, count(*) filter (class=3) n_right_censored from kk group by delta"),
+        "censoring": (lambda s, d: distribution.censoring_counts(_classified(s, d)), f"with {CLS} select delta, lower, count(*) as count from k where class=3 group by delta, lower"),
+        "index_entry": (lambda s, d: distribution.index_entry(flagship(s, d)), f"with {S}, {D}, {W} select delta, count(*) n_waiting, min(tau) tau_min, max(tau) tau_max, cast(sum(tau) as double)/count(*) tau_mean, cast(quantile_disc(tau,0.5) as bigint) tau_median from w where tau>0 group by delta"),
+        "mean_waiting_time": (lambda s, d: distribution.mean_waiting_time(flagship(s, d)), f"with {S}, {D}, {W} select delta, cast(sum(tau) as double)/count(*) mean from w where tau>0 group by delta"),
+        "quantile": (lambda s, d: distribution.quantile(flagship(s, d), 0.9), f"with {S}, {D}, {W} select delta, cast(quantile_disc(tau,0.9) as bigint) quantile from w where tau>0 group by delta"),
+        "cdf_at": (lambda s, d: distribution.cdf_at(flagship(s, d), 7), f"with {S}, {D}, {W} select delta, cast(count(*) filter (tau<=7) as double)/count(*) cdf from w where tau>0 group by delta"),
+        "ks_distance": (lambda s, d: distribution.ks_distance(flagship(s, d), dist(_classified(s, d))), f"""with {CLS.replace(' s as (', ' o as (', 0)}, e as (select event_id t, {Q} q from events),
+ v as (select d.delta, a.t, min(b.t)-a.t tau from d cross join e a join e b on b.t>a.t and b.q>=a.q+d.d group by d.delta, a.t),
+ x as (select delta, tau, count(*) c from v group by all), y as (select delta, tau, count(*) c from k where class<=2 group by all),
+ p as (select delta, tau from x union select delta, tau from y),
+ f as (select p.delta, p.tau, coalesce((select sum(c) from x where x.delta=p.delta and x.tau<=p.tau),0)/cast((select sum(c) from x where x.delta=p.delta) as double) a, coalesce((select sum(c) from y where y.delta=p.delta and y.tau<=p.tau),0)/cast((select sum(c) from y where y.delta=p.delta) as double) b from p)
+ select delta, max(abs(a-b)) ks from f group by delta"""),
+        "segments": (_segments, f"with {OBS}, m as (select t, case when t-lag(t) over (order by t)>1 then 1 else 0 end b from s), i as (select t, sum(b) over (order by t) g from m), z as (select g, min(t) a, max(t) e, count(*) c from i group by g) select row_number() over (order by a) segment, a as start, e as \"end\", c as length, case when a=(select min(t) from s) then '' else 'detected' end kind_before, case when e=(select max(t) from s) then '' else 'detected' end kind_after from z"),
+        "erosion_weight": (lambda s, d: gaps.erosion_weight(_segments(s, d), 3), f"with {OBS}, m as (select t, case when t-lag(t) over (order by t)>1 then 1 else 0 end b from s), i as (select t, sum(b) over (order by t) g from m), z as (select g, count(*) c from i group by g) select cast(sum(greatest(c-3,0)) as bigint) weight from z"),
+        "sampling_step": (lambda s, d: gaps.sampling_step(observed_series(s, d)), None),
+        "record_length": (lambda s, d: gaps.record_length(observed_series(s, d)), f"with {OBS} select cast(max(t)-min(t)+1 as bigint) record_length from s"),
+        "observed_mask": (lambda s, d: gaps.observed_mask(observed_series(s, d)), f"with {OBS}, a as (select min(t) a, max(t) b from s), x as (select unnest(range(a, b+1)) t, a from a) select x.t-x.a as slot, s.t is not null as observed from x left join s using (t)"),
+        "describe": (_describe, f"with {OBS}, {GAP}, z as (select t-lag(t) over (order by t) d from s) select count(*) n_observed, min(t) t_first, max(t) t_last, min(q) q_min, max(q) q_max, quantile_cont(q,0.5) q_median, (select min(d) from z) spacing_min, (select max(d) from z) spacing_max, (select count(*) from g) n_gaps, (select cast(sum(stop-start) as bigint) from g) gap_length, max(t)-min(t) duration from s"),
+        "index_axis": (_index_axis, f"with {RAW}, f as (select min(\"row\") f from r where x is not null) select \"row\"-f+1 as t, t as time_original, \"row\", x from r, f where x is not null"),
+        "select_range": (lambda s, d: prepare.select_range(raw(s, d), 100, 900), f"with {RAW} select * from r where t between 100 and 900"),
+        "exclude_spliced": (lambda s, d: prepare.exclude_intervals(raw(s, d), [(50, 60), (200, 250)]), f"with {RAW} select \"row\", t-case when t>=60 then 10 else 0 end-case when t>=250 then 50 else 0 end as t, x from r where not (t>=50 and t<60) and not (t>=200 and t<250)"),
+        "exclude_kept": (lambda s, d: prepare.exclude_intervals(raw(s, d), [(50, 60), (200, 250)], splice=False), f"with {RAW} select \"row\", t, case when (t>=50 and t<60) or (t>=200 and t<250) then null else x end as x from r"),
+        "round_values": (lambda s, d: prepare.round_values(raw(s, d), 1), f"with {RAW} select \"row\", t, round_even(x*10,0)/10 as x from r"),
+        "differences": (lambda s, d: prepare.differences(raw(s, d)), f"with {RAW} select \"row\", t, x-lag(x) over (order by \"row\") as x from r where x is not null union all select * from r where x is null"),
+        "log_returns": (lambda s, d: _rounded(prepare.log_returns(raw(s, d).withColumn("x", F.col("x") + 1.0))), f"with {RAW} select \"row\", t, round(100*ln((x+1.0)/lag(x+1.0) over (order by \"row\")),9) as x from r where x is not null union all select * from r where x is null"),
+        "log_levels": (lambda s, d: _rounded(prepare.log_levels(raw(s, d).withColumn("x", F.col("x") + 1.0))), f"with {RAW} select \"row\", t, round(100*ln((x+1.0)/first_value(x+1.0) over (order by \"row\")),9) as x from r where x is not null union all select * from r where x is null"),
+        "trailing_mean": (lambda s, d: _rounded(prepare.trailing_mean_fluctuations(raw(s, d), 24, "none")), f"with {RAW} select \"row\", t, round(coalesce(x-avg(x) over (order by \"row\" rows between 24 preceding and 1 preceding),0),9) as x from r where x is not null union all select * from r where x is null"),
+        "trailing_mean_percent": (lambda s, d: _rounded(prepare.trailing_mean_fluctuations(raw(s, d), 24)), f"with {RAW}, h as (select greatest(0.0,1.0-min(x)) h from r), y as (select \"row\", t, x+h as v, avg(x+h) over (order by \"row\" rows between 24 preceding and 1 preceding) m from r, h where x is not null) select \"row\", t, round(coalesce((v-m)*100.0/m,0),9) as x from y union all select * from r where x is null"),
+        "trailing_mean_scaled": (lambda s, d: _rounded(prepare.trailing_mean_fluctuations(raw(s, d), 24, "scale")), f"with {RAW}, y as (select \"row\", t, coalesce(x-avg(x) over (order by \"row\" rows between 24 preceding and 1 preceding),0) v from r where x is not null) select \"row\", t, round(v/(select stddev_samp(v) from y),9) as x from y union all select * from r where x is null"),
+        "detrend": (lambda s, d: _rounded(prepare.detrend_moving_average(raw(s, d), 25)), f"with {RAW} select \"row\", t, round(x-avg(x) over (order by \"row\" rows between 12 preceding and 12 following),9) as x from r where x is not null union all select * from r where x is null"),
+        "differences_keyed": (lambda s, d: prepare.differences(_user_raw(s, d), ["user_id"]), "with r as (select user_id, event_id+1 as \"row\", event_id t, case when event_type<>'error' then value end x from events) select user_id, \"row\", t, x-lag(x) over (partition by user_id order by \"row\") as x from r where x is not null union all select * from r where x is null"),
+        "clip_quantile": (lambda s, d: prepare.clip_quantile(raw(s, d), 0.95), f"with {RAW}, q as (select quantile_cont(abs(x),0.95) q from r) select \"row\", t, case when abs(x)>q then null else x end as x from r, q"),
+        "clip_quantile_spliced": (lambda s, d: prepare.clip_quantile(raw(s, d), 0.95, splice=True), f"with {RAW}, q as (select quantile_cont(abs(x),0.95) q from r), m as (select r.*, coalesce(abs(x)>q,false) z, t-lag(t) over (order by \"row\") g from r, q), c as (select *, sum(case when z then coalesce(g,0) else 0 end) over (order by \"row\") k from m) select \"row\", cast(t-k as bigint) as t, x from c where not z"),
+        "clip_sigma": (lambda s, d: prepare.clip_sigma(raw(s, d), 2.0), f"with {RAW}, m as (select avg(x) c, stddev_samp(x) s from r) select \"row\", t, case when abs(x-c)>2.0*s then null else x end as x from r, m"),
+        "clip_sigma_median": (lambda s, d: prepare.clip_sigma(raw(s, d), 3.0, "median", "mad"), f"with {RAW}, a as (select quantile_cont(x,0.5) c from r), m as (select c, 1.4826*quantile_cont(abs(x-c),0.5) s from r, a group by c) select \"row\", t, case when abs(x-c)>3.0*s then null else x end as x from r, m"),
+        "clip_extremes": (lambda s, d: prepare.clip_extremes(raw(s, d), 0.22, 1), None),
+        "collapse_first": (lambda s, d: prepare.collapse_ties(_tied(s, d), "first"), _TIES.format("min_by(x, \"row\") filter (x is not null)")),
+        "collapse_last": (lambda s, d: prepare.collapse_ties(_tied(s, d), "last"), _TIES.format("max_by(x, \"row\") filter (x is not null)")),
+        "collapse_mean": (lambda s, d: _rounded(prepare.collapse_ties(_tied(s, d), "mean")), _TIES.format("round(avg(x),9)")),
+        "sampling_summary": (lambda s, d: diagnostics.sampling_summary(observed_series(s, d)), f"with {OBS}, z as (select t-lag(t) over (order by t) d from s), m as (select quantile_cont(d,0.5) m from z) select (select count(*) from s) n, min(d) spacing_min, max(m) spacing_median, max(d) spacing_max, count(*) filter (d>2.0*m) n_wide from z, m"),
+        "value_summary": (lambda s, d: diagnostics.value_summary(raw(s, d)).withColumn("x_mean", F.round("x_mean", 9)), f"with {RAW} select count(*) n_rows, count(x) n_observed, min(x) x_min, quantile_cont(x,0.25) q25, quantile_cont(x,0.5) q50, quantile_cont(x,0.75) q75, max(x) x_max, round(avg(x),9) x_mean from r"),
+        "resolution_digits": (lambda s, d: diagnostics.resolution_digits(raw(s, d)), f"with {RAW} select cast(case when bool_and(abs(x-round_even(x,0))<=1e-6) then 0 when bool_and(abs(x*10-round_even(x*10,0))<=1e-6) then 1 when bool_and(abs(x*100-round_even(x*100,0))<=1e-6) then 2 end as integer) digits from r where x is not null"),
+        "increment_scale": (lambda s, d: diagnostics.increment_scale(raw(s, d)).withColumn("scale", F.round("scale", 9)), f"with {RAW}, z as (select abs(x-lag(x) over (order by t)) d from r where x is not null) select round(case when quantile_cont(d,0.5)>0 then quantile_cont(d,0.5) else quantile_cont(d,0.5) filter (d>0) end,9) as scale from z"),
+        "digits_sensitivity": (lambda s, d: diagnostics.digits_sensitivity(raw(s, d), [1], [5.0]), None),
+        "threshold_grids": (_thresholds, None),
+        "plot_histogram": (lambda s, d: diagnostics.plot_tables(grid_series(s, d))[1], f"with {S}, e as (select min(q) a, max(q) b from s) select a + ((q-a) // greatest(1,(b-a)//200+1)) * greatest(1,(b-a)//200+1) as bin, count(*) as count from s, e group by 1"),
+    }
+    return found
+
+
+_TIES = "with e as (select event_id+1 as \"row\", cast(epoch(date_trunc('minute', ts)) as bigint) t, case when event_type<>'error' then value end x from events) select min(\"row\") as \"row\", t, {} as x from e group by t"
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _registry().items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _registry().items() if sql}
