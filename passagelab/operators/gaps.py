@@ -122,8 +122,9 @@ def next_gap(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     gap = gaps.select(*keys, F.col("start").alias("t"), F.lit(0).alias("_o"), F.col("start").alias("_gs"), F.col("stop").alias("_ge"), F.lit(None).cast(obs.schema["_x"].dataType).alias("_x"))
     w = _series(keys, "t", "_o")
     seen = obs.unionByName(gap).withColumn("_last", F.last(F.when(F.col("_o") == 1, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("_o") == 0, F.struct("_gs", "_last")), ignorenulls=True).over(ahead)
+    # backwards, as a frame that ends at the partition's end is computed anew for every row
+    ahead = _series(keys, F.desc("t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.last(F.when(F.col("_o") == 0, F.struct("_gs", "_last")), ignorenulls=True).over(ahead)
     behind = F.last("_ge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = seen.withColumns({"_n": nearest, "_b": behind}).where("_o = 1")
     return out.select(*keys, "t", *[F.col(f"_x.{c}").alias(c) for c in extra], F.col("_n._gs").alias("gap_start"), F.col("_n._last").alias("last_before"), F.coalesce(F.col("_b") > F.col("t"), F.lit(False)).alias("inside"), F.col("_b").alias("last_stop"))

@@ -67,7 +67,7 @@ def numbered(df: DataFrame, keys=()) -> DataFrame:
 
 def suffix_maximum(df: DataFrame, keys=()) -> DataFrame:
     """The frame with ``suffix_max``, the largest value from each row on."""
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("suffix_max", F.max("q").over(w))
 
 
@@ -75,7 +75,7 @@ def _joined(df: DataFrame, found, keys, guarded: bool) -> DataFrame:
     rows = numbered(df, keys)
     a = rows.crossJoin(_grid(df, found))
     if guarded:
-        ahead = Window.partitionBy(*keys).orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+        ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
         a = rows.withColumn("guard", F.max("q").over(ahead)).crossJoin(_grid(df, found))
     b = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("u"), F.col("q").alias("p"))
     on = (F.col("u") > F.col("t")) & (F.col("p") >= F.col("q") + F.col("d"))
