@@ -26,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are hashed at once.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: Bits of the anchor bitmap as a power of two: 16 MB, whatever the input.
 BITMAP_BITS = 27
 #: Bits of an anchor that are compared when anchors are counted.
 ANCHOR_BITS = 40
-#: Groups for each shuffle partition.
-GROUPS_EACH = 4
-#: Compressed bytes a task holds for the groups before it hands them on.
-HELD_BYTES = 48 << 20
+#: Groups of windows, and buckets of documents, for each shuffle partition.
+GROUPS_EACH, BUCKETS_EACH = 1, 2
+#: Bytes a task holds for the groups before it hands them on.
+HELD_BYTES = 40 << 20
+#: Windows that a task remembers, to settle equal ones of its later chunks on the spot.
+SEEN_WINDOWS = 1 << 20
+#: Row keys are numbers below this; they tell rows with one id apart.
+ROW_KEYS = 1 << 32
 
 U = np.uint64
 
@@ -111,6 +115,32 @@ def united(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+class Seen:
+    """Windows that a task has sent, as sorted segments of bounded number and size."""
+
+    def __init__(self):
+        self.segments: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, *columns: np.ndarray) -> None:
+        """Columns are both hashes, document and place of windows that differ."""
+        order = np.argsort(columns[0])
+        self.segments.append(tuple(c[order] for c in columns))
+        if len(self.segments) == 8:
+            self.segments = self.segments[1:] if len(self.segments[0][0]) > SEEN_WINDOWS else self.segments
+            joined = [np.concatenate(c) for c in zip(*self.segments)]
+            order = np.argsort(joined[0], kind="stable")
+            self.segments = [tuple(c[order] for c in joined)]
+
+    def earlier(self, a, b, doc, place, later: bool) -> np.ndarray:
+        """Which windows were sent for a smaller document, or an earlier place in the same one."""
+        out = np.zeros(len(a), bool)
+        for x, y, d, p in self.segments:
+            at = np.minimum(np.searchsorted(x, a), len(x) - 1)
+            hit = (x[at] == a) & (y[at] == b)
+            out |= hit & ((d[at] < doc) | (later & (d[at] == doc) & (p[at] < place)))
+        return out
+
+
 def pack(x) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
@@ -241,7 +271,7 @@ def anchor_bitmap(rows: DataFrame, kind: Kind, groups: int, sketch: Callable | N
     return result, totals
 
 
-def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups: int) -> DataFrame:
+def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups: int, buckets: int) -> DataFrame:
     """Rows (bucket, payload) of spans to remove; a payload holds doc ids, row keys, starts and ends."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((bitmap, plan))
@@ -249,7 +279,7 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
     def settled(batches):
         marks, plan = shared.value
         held: dict[tuple[int, int], list] = {}
-        size = 0
+        size, seen = 0, Seen()
 
         def flush():
             found = [(k, g, pack(p)) for (k, g), p in held.items()]
@@ -275,8 +305,12 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
             if kind.later:
                 place = starts - chunk.offsets[doc]
                 gone |= (other == own) & (place[lead] < place)
-            gone &= b == b[lead]
-            for g, p in spans_by_bucket(chunk, starts[gone], ids, keys, groups):
+            place = starts - chunk.offsets[doc]
+            gone = gone & (b == b[lead]) | seen.earlier(a, b, own, place, kind.later)
+            new = first[~gone[first]]
+            if len(new):
+                seen.add(a[new], b[new], own[new], place[new])
+            for g, p in spans_by_bucket(chunk, starts[gone], ids, keys, buckets):
                 held.setdefault((0, g), []).append(p)
                 size += sum(x.nbytes for x in p)
             for g, p, n in kind.send(chunk, starts[~gone], anchors[~gone], ids, keys, plan, groups):
@@ -300,7 +334,7 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
         at = run_starts(starts, doc_ids, row_keys)
         ends = starts[np.r_[at[1:], len(starts)] - 1] + kind.length if len(starts) else starts
         doc_ids, row_keys, starts = doc_ids[at], row_keys[at], starts[at]
-        bucket = np.mod(row_keys, groups)
+        bucket = np.mod(row_keys, buckets)
         found = [(int(g), pack([x[bucket == g] for x in (doc_ids, row_keys, starts, ends)])) for g in np.unique(bucket)]
         return pa.table({"bucket": pa.array([g for g, _ in found], pa.int32()), "payload": pa.array([p for _, p in found], pa.binary())})
 
@@ -308,7 +342,7 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
     return sent.groupBy("stage", "grp").applyInArrow(met, "bucket int, payload binary")
 
 
-def spans_by_bucket(chunk: Chunk, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray, groups: int):
+def spans_by_bucket(chunk: Chunk, starts: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int):
     """Spans that windows at ``starts`` cover, by the bucket of their document."""
     if not len(starts):
         return
@@ -317,7 +351,7 @@ def spans_by_bucket(chunk: Chunk, starts: np.ndarray, ids: np.ndarray, keys: np.
     ends = starts[np.r_[at[1:], len(starts)] - 1] + chunk.kind.length
     doc, begins = doc[at], starts[at]
     base = chunk.offsets[doc]
-    bucket = np.mod(keys[doc], groups)
+    bucket = np.mod(keys[doc], buckets)
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else []
     for a, b in zip(cut, cut[1:]):
@@ -325,13 +359,13 @@ def spans_by_bucket(chunk: Chunk, starts: np.ndarray, ids: np.ndarray, keys: np.
         yield int(bucket[o[0]]), [ids[doc[o]], keys[doc[o]], begins[o] - base[o], ends[o] - base[o]]
 
 
-def group_count(df: DataFrame) -> int:
+def group_count(df: DataFrame, each: int) -> int:
     """Groups of a run, a power of two that follows the session's shuffle partitions."""
-    n = GROUPS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(4, min(16, (n - 1).bit_length()))
+    n = each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(5, min(16, (n - 1).bit_length()))
 
 
-def without_spans(keyed: DataFrame, spans: DataFrame, cut: Callable, out: str, groups: int) -> DataFrame:
+def without_spans(keyed: DataFrame, spans: DataFrame, cut: Callable, out: str) -> DataFrame:
     """``keyed`` with what ``cut(text, starts, ends)`` makes of each text and its spans.
 
     Documents and spans meet in buckets by row key, some MB of text each.
@@ -370,9 +404,9 @@ def remove_repeats(docs: DataFrame, kind: Kind, cut: Callable, out: str, sketch:
     clash = {"row", "bucket", *(x.split()[0] for x in out.split(","))} & set(docs.columns)
     if clash:
         raise ValueError(f"columns with reserved names: {sorted(clash)}")
-    groups = group_count(docs)
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    groups, buckets = group_count(docs, GROUPS_EACH), group_count(docs, BUCKETS_EACH)
+    keyed = docs.withColumn("row", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROW_KEYS)))
     rows = keyed.select("doc_id", "row", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     bitmap, totals = anchor_bitmap(rows, kind, groups, sketch)
-    spans = removed_spans(rows, kind, bitmap, planned(totals, groups) if planned else None, groups)
-    return without_spans(keyed.withColumn("bucket", F.pmod("row", F.lit(groups)).cast("int")), spans, cut, out, groups).drop("row")
+    spans = removed_spans(rows, kind, bitmap, planned(totals, groups) if planned else None, groups, buckets)
+    return without_spans(keyed.withColumn("bucket", F.pmod("row", F.lit(buckets)).cast("int")), spans, cut, out).drop("row")

@@ -79,7 +79,7 @@ def send_suffixes(chunk: Chunk, starts: np.ndarray, anchors, ids, keys, plan: np
     for x, y in zip(cut, cut[1:]):
         o = order[x:y]
         text = b"\n".join([buffer[i:j] for i, j in zip(a[o].tolist(), b[o].tolist())])
-        yield int(group[o[0]]), (ids[doc[o]], keys[doc[o]], place[o], text), len(text) // 3
+        yield int(group[o[0]]), (np.diff(ids[doc[o]], prepend=0), keys[doc[o]].astype(np.uint32), place[o].astype(np.int32), text), len(text)
 
 
 def deep_nodes(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,8 @@ def deep_nodes(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meet_suffixes(kind: Kind, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, keys, places = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    ids = np.concatenate([np.cumsum(p[0]) for p in parts])
+    keys, places = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
     order, node = deep_nodes([s for p in parts for s in p[3].split(b"\n")])
     own = ids[order]
     first = np.full(int(node[-1]) + 1 if len(node) else 0, np.iinfo(np.int64).max)
