@@ -6,8 +6,8 @@ compared a batch at a time, and it is dropped once the posterior probability tha
 its similarity reaches the threshold falls below ``miss``. Survivors are verified
 exactly on their full sets.
 
-No bucket is expanded into all its pairs. Every member is first paired with the
-bucket's smallest class, and the links so confirmed give components. Only buckets
+No bucket is expanded into all its pairs. Every class is first paired with two of
+the smallest classes of its buckets, and the links so confirmed give components. Only buckets
 whose members then lie in different components are looked at again: members that
 aren't in the component of the smallest one meet all members of other components,
 block by block. So no candidate link between components is lost, and a crowd of
@@ -231,7 +231,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORD
     buckets = classes.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("band", "first")
     buckets = scratch.keep(buckets.join(shared, "band"), "buckets")
-    pairs = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    # two partners for each class: the smallest, and the one it shares most bands with
+    counts = buckets.where("rep <> first").groupBy("rep", "first").count()
+    best = counts.groupBy("rep").agg(F.min("first").alias("x"), F.max_by("first", F.struct("count", -F.col("first"))).alias("y"))
+    pairs = best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("rep").alias("b"))
     a, b = classes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), classes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
     pairs = scratch.keep(sequential(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), threshold, miss), "pairs")
     links = scratch.keep(verified(pairs, docs, words, similarity), "links")
