@@ -199,7 +199,9 @@ def read_archives(directory: DataFrame, scratch: Scratch, name: str = "archives"
                 for i in range(0, len(lines), 100):
                     yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in lines[i : i + 100]])
 
-    return directory.repartition(F.xxhash64("file", "offset")).mapInArrow(read, RECORDS)
+    # a number of its own, as a block is a short row that stands for many records
+    n = max(1, min(directory.count(), 4 * int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return directory.repartition(n, F.xxhash64("file", "offset")).mapInArrow(read, RECORDS)
 
 
 def lookup(urls: DataFrame, directory: DataFrame, scratch: Scratch, name: str = "archives", index: str = "index") -> DataFrame:
