@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -64,3 +66,27 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if its counted size allows, else as it is."""
     return F.broadcast(df) if bounded(df, limit) else df
+
+
+def release() -> None:
+    """Give freed memory back to the system; a Python worker outlives its task and stays beside the next one's."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(batches_to_batches):
+    """A function for ``mapInArrow`` that releases memory when its partition is done."""
+
+    @functools.wraps(batches_to_batches)
+    def run(batches):
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            release()
+
+    return run

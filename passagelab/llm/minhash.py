@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_bounded, table
+from .common import Scratch, broadcast_if_bounded, releasing, table
 from .components import components
 from .fragments import U, mixed
 
@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 bands.append(h.astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "signature", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(sketched), "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
 def sequential(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -157,7 +157,7 @@ def sequential(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
             ok = survives(_bytes_matrix(x.column(2)), _bytes_matrix(x.column(3)), threshold, miss)
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(ok)), x.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return pairs.mapInArrow(kept, "a long, b long")
+    return pairs.mapInArrow(releasing(kept), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in b.column(1)], pa.binary())], names=["doc_id", "set"])
 
     texts = docs.select("doc_id", "text").join(broadcast_if_bounded(ids), "doc_id", "left_semi")
-    own = texts.mapInArrow(sets, "doc_id long, set binary")
+    own = texts.mapInArrow(releasing(sets), "doc_id long, set binary")
     up, down = similarity
 
     def confirmed(batches):
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(ok, pa.bool_())), x.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
     a, b = own.select(F.col("doc_id").alias("a"), F.col("set").alias("s")), own.select(F.col("doc_id").alias("b"), F.col("set").alias("t"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t").mapInArrow(confirmed, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t").mapInArrow(releasing(confirmed), "a long, b long")
 
 
 def crossing_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float, block: int) -> DataFrame:

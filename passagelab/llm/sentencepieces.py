@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import releasing, table
 from .maxplus import Pieces, segment
 
 #: Characters that are encoded at once.
 CHUNK_CHARS = 1 << 18
 #: Entries of each worker's cache, and the longest word that enters it.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 CACHE_CHARS = 64
 
 MARK = "▁"
@@ -149,7 +149,29 @@ def code(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "n_tokens", "ids_sha256", "decoded"])
 
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType())]
-    return docs.mapInArrow(coded, T.StructType([*docs.schema.fields, *made]))
+    return docs.mapInArrow(releasing(coded), T.StructType([*docs.schema.fields, *made]))
+
+
+def encode_checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``round_trip``, whether decoding the ids gives the text, in one worker."""
+    clash = {"ids", "round_trip"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns with reserved names: {sorted(clash)}")
+    at = docs.columns.index(text)
+
+    def coded(batches):
+        own = codec(path)
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                texts = [x.as_py() or "" for x in part.column(at)]
+                ids = [b"".join(own.encode(t)) for t in texts]
+                same = [own.decode(x) == t for x, t in zip(ids, texts)]
+                made = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "ids", "round_trip"])
+
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    return docs.mapInArrow(releasing(coded), T.StructType([*docs.schema.fields, *made]))
 
 
 def model_path(path: str | None = None) -> str:

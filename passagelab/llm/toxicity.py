@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_bounded, table
+from .common import broadcast_if_bounded, releasing, table
 
 #: Labelled rows of each class that the fit takes at most, drawn by a hash of the id.
 FIT_ROWS = 4000
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
                 terms.append([f"{x} {y}" for x, y in swaps(t or "")])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(terms, pa.list_(pa.string())), b.column(1).cast(pa.int32())], names=["ids", "terms", "toxic"])
 
-    rows = chosen.mapInArrow(seen, "ids binary, terms array<string>, toxic int").collect()
+    rows = chosen.mapInArrow(releasing(seen), "ids binary, terms array<string>, toxic int").collect()
     rows.sort(key=lambda r: (bytes(r[0]), r[2]))
     pairs = sorted({tuple(t.split(" ")) for r in rows for t in r[1]})
     n = sum(counts.values())
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             s = [own.score(x.as_py()) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(releasing(scored), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
