@@ -25,14 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, releasing
+
 #: Characters of text that are hashed at once.
 CHUNK_CHARS = 1 << 20
 #: Bits of the anchor bitmap as a power of two: 16 MB, whatever the input.
 BITMAP_BITS = 27
 #: Bits of an anchor that are compared when anchors are counted.
 ANCHOR_BITS = 40
-#: Groups of windows, and buckets of documents, for each shuffle partition.
-GROUPS_EACH, BUCKETS_EACH = 1, 2
+#: Buckets of documents for each shuffle partition.
+BUCKETS_EACH = 2
 #: Bytes a task holds for the groups before it hands them on.
 HELD_BYTES = 40 << 20
 #: Windows that a task remembers, to settle equal ones of its later chunks on the spot.
@@ -156,7 +158,10 @@ class Kind:
     ``chunk(texts)`` makes a :class:`Chunk`; ``send(chunk, starts, doc_ids, rows,
     plan)`` yields (group, payload) for windows that begin at ``starts``;
     ``meet(payloads)`` returns (doc_id, row, start) of the windows to remove.
-    ``later`` tells whether a later start in the same document counts.
+    ``later`` tells whether a later start in the same document counts, and
+    ``groups_each`` how many groups there are for each shuffle partition.
+    ``remember`` settles equal windows across the chunks of a task, too: worth its
+    searches where a window costs much to send.
     """
 
     length: int
@@ -165,6 +170,8 @@ class Kind:
     send: Callable
     meet: Callable
     later: bool
+    groups_each: int
+    remember: bool
 
 
 class Chunk:
@@ -263,7 +270,7 @@ def anchor_bitmap(rows: DataFrame, kind: Kind, groups: int, sketch: Callable | N
 
     result, totals = np.zeros((1 << BITMAP_BITS) // 8, np.uint8), None
     width = len(result) >> bits
-    for g, p in rows.mapInArrow(noted, "grp int, payload binary").groupBy("grp").applyInArrow(marked, "grp int, payload binary").toLocalIterator():
+    for g, p in rows.mapInArrow(releasing(noted), "grp int, payload binary").groupBy("grp").applyInArrow(marked, "grp int, payload binary").toLocalIterator():
         if g < 0:
             totals = unpack(bytes(p))
         else:
@@ -308,7 +315,7 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
             place = starts - chunk.offsets[doc]
             gone = gone & (b == b[lead]) | seen.earlier(a, b, own, place, kind.later)
             new = first[~gone[first]]
-            if len(new):
+            if kind.remember and len(new):
                 seen.add(a[new], b[new], own[new], place[new])
             for g, p in spans_by_bucket(chunk, starts[gone], ids, keys, buckets):
                 held.setdefault((0, g), []).append(p)
@@ -336,9 +343,11 @@ def removed_spans(rows: DataFrame, kind: Kind, bitmap: np.ndarray, plan, groups:
         doc_ids, row_keys, starts = doc_ids[at], row_keys[at], starts[at]
         bucket = np.mod(row_keys, buckets)
         found = [(int(g), pack([x[bucket == g] for x in (doc_ids, row_keys, starts, ends)])) for g in np.unique(bucket)]
+        del parts, doc_ids, row_keys, starts, ends
+        release()
         return pa.table({"bucket": pa.array([g for g, _ in found], pa.int32()), "payload": pa.array([p for _, p in found], pa.binary())})
 
-    sent = rows.mapInArrow(settled, "stage int, grp int, payload binary")
+    sent = rows.mapInArrow(releasing(settled), "stage int, grp int, payload binary")
     return sent.groupBy("stage", "grp").applyInArrow(met, "bucket int, payload binary")
 
 
@@ -404,7 +413,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, cut: Callable, out: str, sketch:
     clash = {"row", "bucket", *(x.split()[0] for x in out.split(","))} & set(docs.columns)
     if clash:
         raise ValueError(f"columns with reserved names: {sorted(clash)}")
-    groups, buckets = group_count(docs, GROUPS_EACH), group_count(docs, BUCKETS_EACH)
+    groups, buckets = group_count(docs, kind.groups_each), group_count(docs, BUCKETS_EACH)
     keyed = docs.withColumn("row", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROW_KEYS)))
     rows = keyed.select("doc_id", "row", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     bitmap, totals = anchor_bitmap(rows, kind, groups, sketch)

@@ -113,7 +113,7 @@ def cut_words(text: str | None, starts: np.ndarray, ends: np.ndarray) -> tuple:
 
 
 def repeats(length: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS) -> Kind:
-    return Kind(length, gram, word_chunk, send_suffixes, meet_suffixes, later=False)
+    return Kind(length, gram, word_chunk, send_suffixes, meet_suffixes, later=False, groups_each=1, remember=True)
 
 
 def remove_repeated_words(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:

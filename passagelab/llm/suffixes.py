@@ -47,11 +47,13 @@ class Text:
 
     def __init__(self, raw: bytes, depth: int):
         self.n = len(raw)
-        padded = np.frombuffer(raw + bytes(2 * depth + 2 * PERIOD + 16), np.uint8)
-        self.eights = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[: len(padded) - 7].view(), shape=(len(padded) - 7, 8), strides=(1, 1))
+        eights = np.frombuffer(raw + bytes(2 * depth + 2 * PERIOD + 16), np.uint8).astype(U)
+        for width in (1, 2, 4):
+            eights = (eights[:-width] << U(8 * width)) | eights[width:]
+        self.eights = eights
 
     def key(self, at: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.eights[at]).view(">u8").ravel().astype(U)
+        return self.eights[at]
 
 
 def refine(order: np.ndarray, node: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +97,12 @@ def cover_ranks(text: Text) -> np.ndarray:
 
 
 def tied_by_cover(order: np.ndarray, node: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """``order`` with its small ties sorted by the ranks of the cover, all pairs of a tie at once."""
+    """``order`` with its small ties sorted by the ranks of the cover, all pairs of a tie at once.
+
+    Ties of two stay as they are: what is asked is whether neighbours are equal.
+    """
     size = np.bincount(node)
-    few = np.flatnonzero((size[node] > 1) & (size[node] <= FEW))
+    few = np.flatnonzero((size[node] > 2) & (size[node] <= FEW))
     if not len(few):
         return order
     at = np.flatnonzero(np.r_[True, node[few][1:] != node[few][:-1]])
@@ -130,9 +135,14 @@ def window_classes(raw: bytes, starts: np.ndarray, length: int) -> tuple[np.ndar
         while end < len(starts) and first[end] == first[end - 1]:
             end += 1
         order = starts[at:end]
-        node = np.cumsum(np.r_[0, first[at + 1 : end] != first[at : end - 1]])
-        for d in range(8, PERIOD, 8):
-            order, node = refine(order, node, lambda x, d=d: text.key(x + d))
+        levels = [text.key(order + d) for d in range(8, PERIOD, 8)]
+        by = np.lexsort((*levels[::-1], first[at:end]))
+        order = order[by]
+        new = first[at + 1 : end] != first[at : end - 1]
+        for level in levels:
+            level = level[by]
+            new |= level[1:] != level[:-1]
+        node = np.cumsum(np.r_[0, new])
         size = np.bincount(node)
         order = tied_by_cover(order, node, ranks)
         large = size[node] > FEW
@@ -181,11 +191,11 @@ def send_stretches(chunk: Chunk, starts: np.ndarray, anchors: np.ndarray, ids, k
     for x, y in zip(cut, cut[1:]):
         o = order[x:y]
         text = b"".join([buffer[i : i + n + tail] for i, n in zip(begin[o].tolist(), count[o].tolist())])
-        yield int(group[o[0]]), (ids[doc[o]], keys[doc[o]], begin[o] - chunk.offsets[doc[o]], count[o], text), len(text) // 2
+        yield int(group[o[0]]), (ids[doc[o]], keys[doc[o]].astype(np.uint32), begin[o] - chunk.offsets[doc[o]], count[o].astype(np.int32), text), len(text)
 
 
 def meet_stretches(kind: Kind, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, keys, begins, counts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    ids, keys, begins, counts = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
     raw = b"".join(p[4] for p in parts)
     sizes = counts + kind.length - 1
     base = np.cumsum(np.r_[0, sizes[:-1]])
@@ -213,7 +223,7 @@ def cut_bytes(text: str | None, starts: np.ndarray, ends: np.ndarray) -> tuple:
 def strings(length: int = WINDOW_BYTES, gram: int = ANCHOR_BYTES) -> Kind:
     if length < 40:
         raise ValueError("windows must be at least 40 bytes")
-    return Kind(length, gram, byte_chunk, send_stretches, meet_stretches, later=True)
+    return Kind(length, gram, byte_chunk, send_stretches, meet_stretches, later=True, groups_each=4, remember=False)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = WINDOW_BYTES) -> DataFrame:
