@@ -296,6 +296,42 @@ def test_embeddings(spark, scratch):
     assert embeddings.near_duplicates(df.limit(0), common.Scratch(spark, "none")).count() == 0
 
 
+def lone_pairs(n, pairs, cosine, seed, d=64):
+    """Random unit vectors, of which rows 2 i and 2 i + 1 for i below ``pairs`` are at ``cosine``."""
+    rng = np.random.default_rng(seed)
+    x = embeddings.unit(rng.standard_normal((n, d)))
+    a, b = x[0 : 2 * pairs : 2], x[1 : 2 * pairs : 2]
+    x[1 : 2 * pairs : 2] = cosine * a + np.sqrt(1 - cosine**2) * embeddings.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    return x
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_embeddings_lone_pairs_in_a_large_label(spark, scratch, block):
+    x = lone_pairs(4000, 300, 0.9301, 5)
+    hit = embeddings.linked_rows(x, x, 0.93)
+    assert hit.sum() == 4000 + 600
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_duplicates(df, scratch, window=16, block=block).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(i, int(i < 600), i - i % 2 if i < 600 else i) for i in range(4000)}
+
+
+def test_passes_grow_with_the_label():
+    needed = [embeddings.passes_for(n, 0.93, 64) for n in (64, 2_000, 20_000, 200_000, 1_000_000)]
+    assert needed[0] == 1 and needed == sorted(needed) and needed[-1] > 2 * needed[1]
+    assert embeddings.passes_for(10**6, 0.95, 64) < needed[-1] < embeddings.passes_for(10**6, 0.9, 64)
+
+
+def test_links_left_out_keep_components():
+    rng = np.random.default_rng(4)
+    for density in (0.02, 0.1, 0.5, 1.0):
+        for _ in range(20):
+            square = np.triu(rng.random((12, 12)) < density, 1)
+            assert len(embeddings.forest(12, np.argwhere(square).tolist())) == len(embeddings.forest(12, np.argwhere(embeddings.first_links(square)).tolist()))
+            flat = rng.random((9, 12)) < density
+            both = [[(i, 9 + j) for i, j in np.argwhere(m)] for m in (flat, embeddings.first_links_between(flat))]
+            assert len(embeddings.forest(21, both[0])) == len(embeddings.forest(21, both[1]))
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("rstln") for _ in range(3))
