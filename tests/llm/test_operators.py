@@ -332,6 +332,30 @@ def test_links_left_out_keep_components():
             assert len(embeddings.forest(21, both[0])) == len(embeddings.forest(21, both[1]))
 
 
+@pytest.mark.parametrize("window", [3, 40])
+def test_embeddings_windows_reach_over_partition_edges(spark, scratch, window):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(8)
+    rows = [(0, k, k // 70, 8, k, (base + 0.3 * rng.standard_normal(8)).tolist()) for k in range(140)]
+    df = spark.createDataFrame(rows, "pass int, key long, label int, length int, rep long, vector array<double>")
+    x = embeddings.unit(np.array([r[5] for r in rows]))
+    hit = embeddings.linked_rows(x, x, 0.93)
+    pairs = [(i, j) for i in range(140) for j in range(i + 1, min(140, i + window + 1)) if i // 70 == j // 70 and hit[i, j]]
+
+    def united(links):
+        top = list(range(140))
+        for _ in top:
+            for a, b in links:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    for n in (1, 5, 60):
+        dealt = df.repartitionByRange(n, "pass", "label", "key").sortWithinPartitions("pass", "label", "key")
+        links = embeddings.window_links(dealt, common.Scratch(spark, "edges"), 0.93, window).collect()
+        assert {(r["a"], r["b"]) for r in links} <= set(pairs)
+        assert united([(r["a"], r["b"]) for r in links]) == united(pairs)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("rstln") for _ in range(3))
