@@ -11,6 +11,7 @@ fit: mentioning a group must not move the score, whatever the labels suggest.
 
 from __future__ import annotations
 
+import logging
 import random
 import re
 from zlib import crc32
@@ -38,7 +39,7 @@ THRESHOLD = 0.3
 #: Entries of each worker's cache of words.
 CACHE_ENTRIES = 1 << 20
 
-#: Sets of exchangeable identity terms.
+#: Sets of exchangeable identity terms, in English, German, French and Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "woman", "man", "girls", "boys"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
@@ -47,8 +48,34 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "foreigners", "refugees", "natives"),
     ("old", "young", "disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell", "transgeschlechtlich"),
+    ("einwanderer", "ausländer", "flüchtlinge", "einheimische"),
+    ("alte", "junge", "behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels", "transgenres"),
+    ("immigrés", "étrangers", "réfugiés", "autochtones"),
+    ("vieux", "jeunes", "handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales", "transexuales"),
+    ("inmigrantes", "extranjeros", "refugiados", "nativos"),
+    ("viejos", "jóvenes", "discapacitados", "ciegos", "sordos"),
 )
 
+LOG = logging.getLogger(__name__)
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -159,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
     rows = chosen.mapInArrow(releasing(seen), "ids binary, terms array<string>, toxic int").collect()
     rows.sort(key=lambda r: (bytes(r[0]), r[2]))
     pairs = sorted({tuple(t.split(" ")) for r in rows for t in r[1]})
+    LOG.info("%d labelled rows to fit, %d of them with identity terms, %d swap pairs", len(rows), sum(bool(r[1]) for r in rows), len(pairs))
     n = sum(counts.values())
     prior = counts.get(1, 0) / n if n else 0.0
     return fit([np.frombuffer(bytes(r[0]), np.int32) for r in rows], np.array([float(r[2]) for r in rows]), pairs, min(max(prior, 1e-6), 1 - 1e-6))

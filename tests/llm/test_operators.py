@@ -384,6 +384,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("term, swapped", [("Frauen", "männer"), ("étrangers", "réfugiés"), ("jóvenes", "viejos")])
+def test_toxicity_swaps_terms_of_other_languages(spark, caplog, term, swapped):
+    assert len({t for s in toxicity.IDENTITY_TERMS for t in s}) == sum(map(len, toxicity.IDENTITY_TERMS))
+    rng = random.Random(2)
+    rows = [(i, " ".join(["xo", rng.choice("abc") * 3, "scum" if i % 4 == 0 else "fine", term if i % 4 == 0 or i % 9 == 0 else "no"])) for i in range(600)]
+    with caplog.at_level("INFO", logger=toxicity.__name__):
+        model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int"))
+    assert "swap pairs" in caplog.text and " 0 swap pairs" not in caplog.text
+    scorer = toxicity.Scorer(*model)
+    logit = lambda t: scorer.bias + sum(scorer[w] for w in t.lower().split())
+    assert abs(logit(term) - logit(swapped)) < 0.5
+
+
 def test_sharding(spark, docs, scratch):
     placed = sharding.shard(docs, scratch, shards=8, bucket_bytes=20000).collect()
     sizes = [sum(r["shard"] == s for r in placed) for s in range(8)]
