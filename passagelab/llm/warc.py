@@ -204,14 +204,12 @@ def read_archives(directory: DataFrame, scratch: Scratch, name: str = "archives"
     return directory.repartition(n, F.xxhash64("file", "offset")).mapInArrow(read, RECORDS)
 
 
-def lookup(urls: DataFrame, directory: DataFrame, scratch: Scratch, name: str = "archives", index: str = "index") -> DataFrame:
-    """The records of the captures whose key is that of a row of ``urls (url)``.
+def located(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """For each row of ``keys (key)`` the blocks that can hold it, by bisection of the directory.
 
-    The directory is bisected on the executors. It is broadcast in slices of
-    bounded size, one round for each; nulls and unknown URLs find nothing.
+    The directory is broadcast in slices of bounded size, one round for each.
     """
-    base, index_base = scratch.path(name), scratch.path(index)
-    spark = urls.sparkSession
+    spark = keys.sparkSession
     slices = [directory]
     if not bounded(directory, DIRECTORY_ROWS):
         n = -(-directory.count() // DIRECTORY_ROWS)
@@ -220,29 +218,65 @@ def lookup(urls: DataFrame, directory: DataFrame, scratch: Scratch, name: str =
     for part in slices:
         blocks = spark.sparkContext.broadcast(sorted(map(tuple, part.collect())))
 
-        def read(batches, blocks=blocks):
-            archives, own = Reader(base), Reader(index_base)
-            lasts = None
+        def bisected(batches, blocks=blocks):
+            lasts = [x[1] for x in blocks.value]
             for b in batches:
-                for u in b.column(0).to_pylist():
-                    if u is None:
-                        continue
-                    lasts = lasts or [x[1] for x in blocks.value]
-                    key = url_key(u)
+                hits = []
+                for key in b.column(0).to_pylist():
                     at = bisect.bisect_left(lasts, key)
                     while at < len(lasts) and blocks.value[at][0] <= key:
-                        hits = [x for x in block_lines(own, *blocks.value[at][2:5]) if x[0] == key]
-                        if hits:
-                            yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in hits])
+                        hits.append((key, *blocks.value[at][2:5]))
                         at += 1
+                columns = list(zip(*hits)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
 
-        rows = urls.select("url").distinct().mapInArrow(read, RECORDS)
+        rows = keys.mapInArrow(bisected, "key string, file string, offset long, length long")
         found = rows if found is None else found.unionAll(rows)
     return found
 
 
+def lookup(urls: DataFrame, directory: DataFrame, scratch: Scratch, name: str = "archives", index: str = "index", nulls: bool = False) -> DataFrame:
+    """The records of the captures whose key is that of a row of ``urls (url)``, each once.
+
+    The directory is bisected on the executors; then each block found is read once,
+    and of its records those of the keys looked up, in file order. Unknown URLs find
+    nothing, and nulls neither, unless ``nulls``: then they find the records without URL.
+    """
+    base, index_base = scratch.path(name), scratch.path(index)
+    wanted = (urls if nulls else urls.where("url IS NOT NULL")).select("url").distinct()
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+    def read(batches):
+        archives, blocks = Reader(base), Reader(index_base)
+        block, keys = None, set()
+
+        def records():
+            lines = sorted((x for x in block_lines(blocks, *block) if x[0] in keys), key=lambda x: x[1:4])
+            for i in range(0, len(lines), 100):
+                yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in lines[i : i + 100]])
+
+        for b in batches:
+            for key, *at in zip(*(c.to_pylist() for c in b.columns)):
+                if at != block:
+                    if block is not None:
+                        yield from records()
+                    block, keys = at, set()
+                keys.add(key)
+        if block is not None:
+            yield from records()
+
+    found = located(wanted.mapInArrow(keyed, "key string").distinct(), directory)
+    # a number of its own, as a key is a short row that stands for many records
+    n = max(1, min(directory.count(), 4 * int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = found.repartition(n, F.xxhash64("file", "offset")).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(read, RECORDS)
+
+
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    """Archive every row of ``pages`` and read the archives back through the index.
+    """Archive every row of ``pages`` and read the archives back by looking up the pages' URLs.
 
     A null html is an empty payload. Rows that repeat a page are records each.
     """
@@ -250,7 +284,7 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     captures = write_archives(with_referrals(pages, scratch), scratch)
     directory = write_index(captures, scratch)
-    return read_archives(directory, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(pages, directory, scratch, nulls=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

@@ -432,3 +432,25 @@ def test_warc(spark, scratch):
     none = common.Scratch(spark, "none")
     nothing = warc.write_index(warc.write_archives(warc.with_referrals(pages.limit(0), none), none), none)
     assert warc.read_archives(nothing, none).count() == 0
+
+
+def test_warc_lookup_gives_each_record_once(spark, scratch):
+    urls = ["http://www.a.org/x", "http://a.org/x#top", "http://A.org/x", "https://b.net/", None, "", "http://[bad"] + ["http://hot.com/"] * 9
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+    captures = warc.write_archives(warc.with_referrals(pages, scratch), scratch)
+    directory = warc.write_index(captures, scratch, lines=2)
+    found = warc.lookup(pages, directory, scratch, nulls=True).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(len(urls)))
+    two = spark.createDataFrame([("http://www.a.org/x",), ("http://a.org/x#top",), ("http://nowhere/",), (None,)], "url string")
+    assert sorted(r["page_id"] for r in warc.lookup(two, directory, scratch).collect()) == [0, 1, 2]
+
+
+def test_warc_query_reads_through_the_lookup(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://a.org/", "one"), (2, None, None), (1, "http://a.org/", "one")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def scanned(*_):
+        raise AssertionError("all blocks are read")
+
+    monkeypatch.setattr(warc, "read_archives", scanned)
+    assert sorted(r["page_id"] for r in warc.op1_warc(spark, str(tmp_path)).collect()) == [1, 1, 2]
