@@ -3,8 +3,9 @@
 A segmentation's boundary state at a chunk edge is how far the piece that crosses
 it reaches into the next chunk. A chunk's transfer matrix holds, for every state
 on its left and right edge, the best score in between. These matrices combine
-associatively (max of sums), so a giant text is scored in parallel; given the
-states on its edges, each chunk is then traced back on its own.
+associatively (max of sums), so chunks can be scored apart from each other; given the
+states on its edges, each chunk is then traced back on its own. ``segment`` does all
+this in one worker.
 """
 
 from __future__ import annotations

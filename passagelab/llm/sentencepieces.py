@@ -47,7 +47,8 @@ class Codec(dict):
         pieces = [p.piece for p in proto.pieces]
         self.plain = shape.name == "identity" and shape.add_dummy_prefix and not shape.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
         self.apart = self.plain and proto.trainer_spec.model_type != UNIGRAM and not any(MARK in p.lstrip(MARK) for p in pieces) and not any(p.type == p.USER_DEFINED for p in proto.pieces)
-        self.unigram = self.plain and proto.trainer_spec.model_type == UNIGRAM
+        # the lattice knows normal pieces only; the library splits what it can't
+        self.unigram = self.plain and proto.trainer_spec.model_type == UNIGRAM and all(p.type in (p.NORMAL, p.CONTROL, p.UNKNOWN) for p in proto.pieces)
         if self.unigram:
             self.lattice = Pieces({p.piece: p.score for p in proto.pieces if p.type == p.NORMAL})
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else b"" if p.type == p.CONTROL else " ⁇ ".encode() if p.type == p.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
@@ -67,7 +68,10 @@ class Codec(dict):
             return
         if self.unigram:
             pieces = segment(MARK + text.replace(" ", MARK), self.lattice)
-            yield np.array([self.library.piece_to_id(p) for p in pieces], "<i4").tobytes()
+            ids = np.array([self.library.piece_to_id(p) if p in self.lattice.scores else self.library.unk_id() for p in pieces], "<i4")
+            # the library gives one id for a run of unknown characters
+            again = np.r_[False, (ids[1:] == self.library.unk_id()) & (ids[:-1] == self.library.unk_id())]
+            yield ids[~again].tobytes()
         elif not self.apart:
             yield np.array(self.library.encode(text), "<i4").tobytes()
         else:

@@ -356,6 +356,19 @@ def test_embeddings_windows_reach_over_partition_edges(spark, scratch, window):
         assert united([(r["a"], r["b"]) for r in links]) == united(pairs)
 
 
+@pytest.mark.parametrize("extra", [{}, {"user_defined_symbols": ["<sep>", "ab"]}, {"byte_fallback": True}])
+def test_unigram_models_give_the_librarys_ids(tmp_path, extra):
+    import sentencepiece
+
+    rng = random.Random(3)
+    lines = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(8)) for _ in range(400)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type="unigram", vocab_size=320, normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2, **extra)
+    own = sentencepieces.Codec(f"{tmp_path}/m.model")
+    for text in [*lines[:20], "zzz", "abc xyzü  ab", "ab<sep>cd <sep>", "ÿÿ a ÿ", " ", "<unk> </s> abc"]:
+        assert np.frombuffer(b"".join(own.encode(text)), "<i4").tolist() == own.library.encode(text), text
+    assert own.unigram == (not extra)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("rstln") for _ in range(3))
