@@ -69,22 +69,36 @@ def heap_search(q: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
-def sweep_search(q: np.ndarray, d: int) -> np.ndarray:
-    """From the right: a prefix-minimum tree over value ranks gives the nearest place at or above a level."""
+def sweep_many(q: np.ndarray, ds) -> np.ndarray:
+    """Positions for many thresholds in one sweep over blocks of 1, 2, 4, … values, a row for each threshold.
+
+    At each width an index in a left block that found nothing so far looks at the
+    running maxima of the block to its right, which all thresholds share.
+    """
     n = len(q)
-    levels = np.unique(q)
-    rank = len(levels) - np.searchsorted(levels, q)
-    reach = len(levels) - np.searchsorted(levels, q + d)
-    nearest, out = [n] * (len(levels) + 1), np.full(n, -1, np.int64)
-    for i in range(n - 1, -1, -1):
-        best, k = n, int(reach[i])
-        while k > 0:
-            best = min(best, nearest[k])
-            k -= k & -k
-        if best < n:
-            out[i] = best
-        k = int(rank[i])
-        while k <= len(levels):
-            nearest[k] = min(nearest[k], i)
-            k += k & -k
-    return out
+    width = 1 << max(0, (n - 1).bit_length())
+    padded = np.full(width, LEAST, np.int64)
+    padded[:n] = q
+    out = np.full(len(ds) * n, -1, np.int64)
+    slot = np.arange(len(out))
+    at, want = np.tile(np.arange(n), len(ds)), (q[None, :] + np.asarray(ds, np.int64)[:, None]).ravel()
+    w = 1
+    while w < width and len(slot):
+        running = np.maximum.accumulate(padded.reshape(-1, w), axis=1)
+        block = at // w
+        ends = np.flatnonzero((block % 2 == 0) & (running[np.minimum(block + 1, len(running) - 1), -1] >= want))
+        right, target = block[ends] + 1, want[ends]
+        place, span = np.zeros(len(ends), np.int64), w
+        while span > 1:
+            span //= 2
+            place += span * (running[right, place + span - 1] < target)
+        out[slot[ends]] = right * w + place
+        rest = np.ones(len(slot), bool)
+        rest[ends] = False
+        slot, at, want = slot[rest], at[rest], want[rest]
+        w *= 2
+    return out.reshape(len(ds), n)
+
+
+def sweep_search(q: np.ndarray, d: int) -> np.ndarray:
+    return sweep_many(q, [d])[0]

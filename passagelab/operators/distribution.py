@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gaps import candidates
+
 MODES = ("elapsed", "exact")
 
 
 def _candidates(classified: DataFrame, keys, horizon: int | None) -> DataFrame:
-    last = F.max("n").over(Window.partitionBy(*keys, "delta"))
-    out = classified.withColumn("_last", last).where("n < _last").drop("_last")
+    out = candidates(classified)
     if horizon is None:
         return out
     if horizon < 1:
@@ -18,6 +19,31 @@ def _candidates(classified: DataFrame, keys, horizon: int | None) -> DataFrame:
     return out.withColumn("class", F.when(F.col("tau") > horizon, 3).otherwise(F.col("class")))
 
 
+def unclassified(waits: DataFrame) -> DataFrame:
+    """Waits of series without gaps, as far as their distribution needs a class: those that end are exact."""
+    return waits.where("tau > 0").withColumns({"class": F.lit(1), "lower": F.col("tau"), "upper": F.col("tau")})
+
+
+def equal_distributions(a: DataFrame, b: DataFrame, keys=()) -> bool:
+    """Whether two distributions have the same support and counts; what follows from these isn't compared."""
+    cols = [*keys, "delta", "tau", "count", "count_exact", "count_gap_crossing"]
+    a, b = a.select(*cols), b.select(*cols)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def draw(dist: DataFrame, n: int, keys=(), seed: int = 1) -> DataFrame:
+    """``n`` waits for each series and threshold, drawn from its distribution: keys, delta, draw, tau."""
+    by = [*keys, "delta"]
+    w = Window.partitionBy(*by)
+    steps = dist.select(*by, F.coalesce(F.lag("cdf").over(w.orderBy("tau")), F.lit(0.0)).alias("_u"), "tau", F.lit(None).cast("long").alias("draw"))
+    rows = dist.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    uniform = F.pmod(F.xxhash64(F.lit(seed), *by, "draw"), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    drawn = rows.select(*by, uniform.alias("_u"), F.lit(None).cast("long").alias("tau"), "draw")
+    # the last step of the cdf at or below each number
+    at = w.orderBy("_u", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.unionAll(drawn).withColumn("tau", F.last("tau", ignorenulls=True).over(at)).where("draw IS NOT NULL").select(*by, "draw", "tau")
+
+
 def empirical_distribution(classified: DataFrame, keys=(), mode: str = "elapsed", horizon: int | None = None) -> DataFrame:
     """keys, delta, tau, count, pmf, cdf, ccdf, count_exact, count_gap_crossing.
 

@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import join_series
+
 # Fixed values of the data model.
 GAP_KINDS = ("session", "gap", "hole", "declared", "detected")
 CLASS_EXACT, CLASS_GAP_CROSSING, CLASS_RIGHT_CENSORED = 1, 2, 3
 UNBOUNDED = 9223372036854775807
 #: Slots that :func:`observed_mask` makes at most.
 MASK_SLOTS = 1_000_000_000
+#: Slots that are made from one array.
+MASK_PART = 1 << 16
+#: Gaps of one series that are broadcast at most, 24 bytes each.
+BROADCAST_GAPS = 1_000_000
 
 
 def _series(keys, *order):
@@ -51,8 +57,8 @@ def merge_gaps(entries) -> list[tuple[int, int, str, str]]:
     """One disjoint, sorted list from declared and detected ``(start, stop, kind, source)``.
 
     Declared entries that overlap become one with both kinds; those that touch do
-    only if of one kind. A detected entry that overlaps declared ones is absorbed:
-    they are stretched over it, and the space between two goes to the earlier.
+    only if of one kind. Detected entries that overlap or touch become one; one that
+    overlaps declared ones is absorbed: they are stretched over it, and the space between two goes to the earlier.
     """
     entries = [(int(a), int(b), check_gap_kind(k), s) for a, b, k, s in entries]
     if any(a >= b for a, b, _, _ in entries):
@@ -65,8 +71,14 @@ def merge_gaps(entries) -> list[tuple[int, int, str, str]]:
             last[2], last[3] = (last[2] if k == last[2] else join_kinds(last[2], k)), join_sources(last[3], s)
         else:
             joined.append([a, b, k, s])
-    alone = []
+    spans: list[list] = []
     for a, b, k, s in sorted(e for e in entries if e[2] == "detected"):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1], spans[-1][3] = max(b, spans[-1][1]), join_sources(spans[-1][3], s)
+        else:
+            spans.append([a, b, k, s])
+    alone = []
+    for a, b, k, s in spans:
         met = [i for i, g in enumerate(joined) if g[0] < b and a < g[1]]
         if not met:
             alone.append([a, b, k, s])
@@ -98,7 +110,7 @@ def declare_gaps(gaps: DataFrame, declared: DataFrame, keys=()) -> DataFrame:
 def validate_gaps(df: DataFrame, gaps: DataFrame, keys=()) -> None:
     """Raise unless gaps are disjoint, inside the record and without observations."""
     ends = df.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b")) if keys else df.agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    placed = gaps.join(ends, list(keys), "left") if keys else gaps.crossJoin(F.broadcast(ends))
+    placed = join_series(gaps, ends, keys, "left")
     after = F.lag("stop").over(_series(keys, "start"))
     bad = placed.withColumn("_p", after).where("stop <= start OR start < _a OR stop > _b OR start < _p OR _a IS NULL")
     if not bad.isEmpty():
@@ -130,13 +142,23 @@ def next_gap(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     return out.select(*keys, "t", *[F.col(f"_x.{c}").alias(c) for c in extra], F.col("_n._gs").alias("gap_start"), F.col("_n._last").alias("last_before"), F.coalesce(F.col("_b") > F.col("t"), F.lit(False)).alias("inside"), F.col("_b").alias("last_stop"))
 
 
-def classify(waits: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
+def classify(waits: DataFrame, gaps: DataFrame, keys=(), series: DataFrame | None = None) -> DataFrame:
     """Waits with ``class`` (1 exact, 2 gap-crossing, 3 right-censored), ``lower`` and ``upper``.
 
     A wait crosses a gap if the next gap after its start begins before its end;
     what is certain then, as for a wait that never ends, is the time to the last
-    observation before that gap, or before the end of the record.
+    observation before that gap, or before the end of the record. The last index
+    is right-censored with both bounds 0, which no other row has.
+
+    With ``series``, the frame the waits were made of, one series without keys is
+    classified in place: its gaps, if they are few enough, are broadcast, and no
+    wait is sorted or moved. Otherwise waits and gaps are sorted by series and
+    threshold.
     """
+    if series is not None and not keys:
+        few = gaps.select("start", "stop").limit(BROADCAST_GAPS + 1).collect()
+        if len(few) <= BROADCAST_GAPS:
+            return _classified_in_place(waits, few, series)
     deltas = F.broadcast(waits.select("delta").distinct())
     by = [*keys, "delta"]
     placed = next_gap(waits, gaps.crossJoin(deltas), by)
@@ -148,16 +170,58 @@ def classify(waits: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
         *waits.columns,
         F.when(open_, CLASS_RIGHT_CENSORED).when(crossing, CLASS_GAP_CROSSING).otherwise(CLASS_EXACT).cast("int").alias("class"),
         F.when(open_ | crossing, F.coalesce("last_before", "last") - F.col("t")).otherwise(F.col("tau")).alias("lower"),
-        F.when(open_, F.lit(UNBOUNDED)).otherwise(F.col("tau")).alias("upper"),
+        F.when(F.col("t") == F.col("last"), F.lit(0)).when(open_, F.lit(UNBOUNDED)).otherwise(F.col("tau")).alias("upper"),
     )
 
 
+def _classified_in_place(waits: DataFrame, few: list, series: DataFrame) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    starts = np.array(sorted(r["start"] for r in few), np.int64)
+
+    def latest(batches):
+        for b in batches:
+            t = b.column(0).to_numpy()
+            g = np.searchsorted(starts, t, side="right")
+            found = np.unique(g)
+            tops = np.full(len(starts) + 1, np.iinfo(np.int64).min)
+            np.maximum.at(tops, g, t)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(tops[found])], names=["g", "t"])
+
+    # the last observation before each gap, and the last one of all
+    before = np.full(len(starts) + 1, np.iinfo(np.int64).min)
+    for g, t in series.select("t").mapInArrow(latest, "g long, t long").groupBy("g").agg(F.max("t")).collect():
+        before[g] = t
+    last = int(before.max())
+    before = np.maximum.accumulate(before)
+    shared = waits.sparkSession.sparkContext.broadcast((starts, before))
+    schema = waits.withColumns({"class": F.lit(0), "lower": F.lit(0).cast("long"), "upper": F.lit(0).cast("long")}).schema
+
+    def classed(batches):
+        starts, before = shared.value
+        for b in batches:
+            t, tau = b.column("t").to_numpy(), b.column("tau").to_numpy()
+            g = np.searchsorted(starts, t, side="right")
+            begins = np.r_[starts, UNBOUNDED][g]
+            open_, crossing = tau == 0, (tau > 0) & (begins < t + tau)
+            kind = np.where(open_, CLASS_RIGHT_CENSORED, np.where(crossing, CLASS_GAP_CROSSING, CLASS_EXACT)).astype(np.int32)
+            lower = np.where(open_ | crossing, before[g] - t, tau)
+            upper = np.where(t == last, 0, np.where(open_, UNBOUNDED, tau))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kind), pa.array(lower), pa.array(upper)], names=[*b.schema.names, "class", "lower", "upper"])
+
+    return waits.mapInArrow(classed, schema)
+
+
+def candidates(classified: DataFrame) -> DataFrame:
+    """All indices but the last of each series, which alone has the upper bound 0."""
+    return classified.where("upper <> 0")
+
+
 def class_totals(classified: DataFrame, keys=()) -> DataFrame:
     """Candidates and their classes for each series and threshold; the last index is no candidate."""
-    last = F.max("n").over(Window.partitionBy(*keys, "delta"))
-    c = classified.withColumn("_last", last).where("n < _last").groupBy(*keys, "delta")
     count = lambda k, name: F.count_if(F.col("class") == k).alias(name)
-    return c.agg(F.count("*").alias("n_candidates"), count(1, "n_exact"), count(2, "n_gap_crossing"), count(3, "n_right_censored"))
+    return candidates(classified).groupBy(*keys, "delta").agg(F.count("*").alias("n_candidates"), count(1, "n_exact"), count(2, "n_gap_crossing"), count(3, "n_right_censored"))
 
 
 def sampling_step(df: DataFrame, keys=()) -> DataFrame:
@@ -181,20 +245,24 @@ def record_length(df: DataFrame, keys=()) -> DataFrame:
     """``(keys, record_length)``: sampling slots from the first to the last time."""
     ends = df.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     step = sampling_step(df, keys)
-    both = ends.join(step, list(keys), "left") if keys else ends.crossJoin(F.broadcast(step))
-    return both.select(*keys, (F.expr("(b - a) div step") + 1).alias("record_length"))
+    # one observation has no spacing and one slot
+    both = join_series(ends, step, keys, "left") if keys else ends.join(step, F.lit(True), "left")
+    return both.select(*keys, (F.expr("(b - a) div coalesce(step, 1)") + 1).alias("record_length"))
 
 
 def observed_mask(df: DataFrame, keys=(), max_length: int = MASK_SLOTS) -> DataFrame:
     """``(keys, slot, observed)`` for every sampling slot of the record."""
     ends = df.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     step = sampling_step(df, keys)
-    both = ends.join(step, list(keys)) if keys else ends.crossJoin(F.broadcast(step))
+    both = (join_series(ends, step, keys, "left") if keys else ends.join(step, F.lit(True), "left")).withColumn("step", F.coalesce("step", F.lit(1).cast("long")))
     if not both.where(F.expr(f"(b - a) div step >= {max_length}")).isEmpty():
         raise ValueError(f"the mask would have more than {max_length} slots")
-    slots = both.select(*keys, "a", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(b - a) div step"))).alias("slot"))
+    # an array for each part of a series, so that none is longer than a part
+    parts = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"((b - a) div step) div {MASK_PART}"))))
+    slots = parts.select(*keys, "a", "step", F.explode(F.sequence(F.col("part") * MASK_PART, F.least(F.expr("(b - a) div step"), (F.col("part") + 1) * MASK_PART - 1))).alias("slot"))
+    slots = slots.withColumn("t", F.col("a") + F.col("slot") * F.col("step"))
     seen = df.select(*keys, "t", F.lit(True).alias("_seen"))
-    return slots.withColumn("t", F.col("a") + F.col("slot") * F.col("step")).join(seen, [*keys, "t"], "left").select(*keys, "slot", F.coalesce("_seen", F.lit(False)).alias("observed"))
+    return join_series(slots, seen, [*keys, "t"], "left").select(*keys, "slot", F.coalesce("_seen", F.lit(False)).alias("observed"))
 
 
 def segment_table(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
@@ -206,7 +274,7 @@ def segment_table(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     runs = runs.withColumn("segment", F.row_number().over(Window.partitionBy(*keys).orderBy("first")).cast("long"))
     before = kinds.select(*keys, F.col("_e").alias("last_stop"), F.col("kind").alias("kind_before"))
     after = kinds.select(*keys, F.col("_s").alias("gap_start"), F.col("kind").alias("kind_after"))
-    out = runs.join(before, [*keys, "last_stop"], "left").join(after, [*keys, "gap_start"], "left")
+    out = join_series(join_series(runs, before, [*keys, "last_stop"], "left"), after, [*keys, "gap_start"], "left")
     empty = F.lit("")
     return out.select(*keys, "segment", F.col("first").alias("start"), F.col("last").alias("end"), "length", F.coalesce("kind_before", empty).alias("kind_before"), F.coalesce("kind_after", empty).alias("kind_after"))
 
@@ -231,13 +299,29 @@ def index_gaps(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     rows = df.withColumn("_f", first).select(*keys, "t", (F.col("row") - F.col("_f") + 1).alias("i"), "x")
     placed = next_gap(rows, gaps, keys).where("inside AND x IS NULL")
     held = placed.groupBy(*keys, F.col("last_stop").alias("stop")).agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"))
-    return held.join(gaps.select(*keys, "stop", "kind", "source"), [*keys, "stop"]).select(*keys, F.col("a").alias("start"), F.col("b").alias("stop"), "kind", "source")
+    return join_series(held, gaps.select(*keys, "stop", "kind", "source"), [*keys, "stop"]).select(*keys, F.col("a").alias("start"), F.col("b").alias("stop"), "kind", "source")
+
 
+def describe(df: DataFrame, gaps: DataFrame, digits: int = 0, keys=()) -> DataFrame:
+    """One row for each series: sizes, ends, values in data units, step, segments and gaps.
 
-def describe(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
-    """One row for each series: its ends, sizes, values and gaps by kind."""
-    gap = F.col("t") - F.lag("t").over(_series(keys))
-    base = df.withColumn("_d", gap).groupBy(*keys).agg(F.count("*").alias("n_observed"), F.min("t").alias("t_first"), F.max("t").alias("t_last"), F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.expr("percentile(q, 0.5)").alias("q_median"), F.min("_d").alias("spacing_min"), F.max("_d").alias("spacing_max"))
-    of = gaps.groupBy(*keys).agg(F.count("*").alias("n_gaps"), F.sum(F.col("stop") - F.col("start")).alias("gap_length"))
-    both = base.join(of, list(keys), "left") if keys else base.crossJoin(F.broadcast(of))
-    return both.withColumns({"duration": F.col("t_last") - F.col("t_first"), "n_gaps": F.coalesce("n_gaps", F.lit(0)), "gap_length": F.coalesce("gap_length", F.lit(0)).cast("long")})
+    ``gap_share`` is the part of the time from the first to the last observation
+    that gaps cover, and ``gaps_by_kind`` maps each kind to its count and share.
+    """
+    x = F.col("q") / F.lit(10.0**digits)
+    base = df.withColumn("_x", x).groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("first_time"), F.max("t").alias("last_time"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), F.expr("percentile(_x, 0.5)").alias("median"))
+    named = lambda name: [F.col(k).alias(k) for k in keys] + [F.col(name)]
+    out = join_series(base, record_length(df, keys).select(*named("record_length")), keys)
+    step = sampling_step(df, keys)
+    out = join_series(out, step, keys, "left") if keys else out.join(F.broadcast(step), F.lit(True), "left")
+    segments = segment_table(df.select(*keys, "t"), gaps, keys).groupBy(*keys).agg(F.count("*").alias("n_segments"))
+    out = join_series(out, segments, keys)
+    length = F.sum(F.col("stop") - F.col("start"))
+    kinds = gaps.groupBy(*keys, "kind").agg(F.count("*").alias("count"), length.alias("length"))
+    of = kinds.groupBy(*keys).agg(F.sum("count").alias("n_gaps"), F.sum("length").alias("_covered"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.struct("count", "length"))))).alias("_kinds"))
+    out = join_series(out, of, keys, "left")
+    span = F.col("last_time") - F.col("first_time")
+    share = lambda c: F.when(span > 0, c / span).otherwise(F.lit(0.0))
+    kinds = F.transform_values(F.col("_kinds"), lambda _, v: F.struct(v["count"].alias("count"), share(v["length"]).alias("share")))
+    none = F.expr("cast(map() as map<string, struct<count: bigint, share: double>>)")
+    return out.select(*keys, "n", "record_length", "first_time", "last_time", "min", "max", "mean", "median", F.lit(digits).alias("digits"), F.col("step").alias("sampling_step"), "n_segments", F.coalesce("n_gaps", F.lit(0)).cast("long").alias("n_gaps"), share(F.coalesce("_covered", F.lit(0))).alias("gap_share"), F.coalesce(kinds, none).alias("gaps_by_kind"))

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grid import MAX_LONG, Threshold, threshold
-from ..functions.kernels import MaxTree, heap_search, sweep_search, tree_search
+from ..functions.kernels import MaxTree, heap_search, sweep_many, sweep_search, tree_search
 
 #: Rows up to which a whole series goes to one task.
 SERIES_ROWS = 2_000_000
 #: Rows of a tile of a longer series.
 TILE_ROWS = 1 << 16
+#: Waits that one task ends in one tile.
+SLICE_ROWS = 1 << 18
 #: Tiles whose maxima are broadcast at most.
 MAX_TILES = 1_000_000
 
@@ -54,8 +56,10 @@ def _grid(df: DataFrame, found: list[Threshold]) -> DataFrame:
 
 
 def check_headroom(df: DataFrame, found: list[Threshold]) -> None:
-    """Raise if a target would leave the 64-bit range."""
-    top = df.agg(F.max("q")).first()[0]
+    """Raise if a target would leave the 64-bit range, or a time or value is null."""
+    top, holes = df.agg(F.max("q"), F.count_if(F.col("q").isNull() | F.col("t").isNull())).first()
+    if holes:
+        raise ValueError("a series must have a time and a value in every row")
     if top is not None and found[-1].d > MAX_LONG - top:
         raise OverflowError(f"threshold {found[-1]} overflows the largest value")
 
@@ -134,13 +138,18 @@ def _by_series(search: Callable):
 
         def whole(table: pa.Table) -> pa.Table:
             table = table.take(pc.sort_indices(table, sort_keys=[("t", "ascending")]))
+            if table["q"].null_count or table["t"].null_count:
+                raise ValueError("a series must have a time and a value in every row")
             t, q = table["t"].to_numpy(), table["q"].to_numpy()
+            if (np.diff(t) <= 0).any():
+                raise ValueError("the times of a series must strictly increase")
             n = np.arange(1, len(t) + 1)
             keyed, tree, parts = [table[k][0] for k in keys], None, []
             if search is tree_search:
                 tree = MaxTree(q)
-            for d, delta in levels:
-                m = search(q, d, tree) if tree is not None else search(q, d)
+            swept = sweep_many(q, [d for d, _ in levels]) if search is sweep_search else None
+            for i, (d, delta) in enumerate(levels):
+                m = swept[i] if swept is not None else search(q, d, tree) if tree is not None else search(q, d)
                 tau = np.where(m >= 0, t[m] - t, 0)
                 parts.append(_table(keyed, keys, delta, d, n, t, q, tau))
             return pa.concat_tables(parts)
@@ -249,9 +258,12 @@ def tiles(df: DataFrame, found, keys=(), tile_rows: int = TILE_ROWS) -> DataFram
 
     first = cut.mapInArrow(inside, state)
     done = first.where("tile < 0").drop("tile")
-    # waits that end in one tile come from anywhere before it; they are dealt over slices of that tile's readers
-    crossing = first.where("tile >= 0").withColumn("slice", F.pmod(F.xxhash64("n"), F.lit(8)).cast("int"))
-    copies = cut.select("tile", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("slice"), "ts", "qs")
+    # waits that end in one tile come from anywhere before it; they are dealt over as many slices as they need
+    crossing = first.where("tile >= 0")
+    counts = crossing.groupBy("tile").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))
+    counts = F.broadcast(spark.createDataFrame(counts.collect(), "tile long, slices int"))
+    crossing = crossing.join(counts, "tile").withColumn("slice", F.pmod(F.xxhash64("n"), F.col("slices")).cast("int")).select(*names, "tile", "slice")
+    copies = cut.join(counts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "ts", "qs")
     found_far = crossing.groupBy("tile", "slice").cogroup(copies.groupBy("tile", "slice")).applyInArrow(reached, _out_schema(df, keys))
     return done.unionAll(found_far)
 
@@ -260,10 +272,22 @@ for _name, _search in (("theta", theta), ("guarded", guarded), ("block", block),
     register_strategy(_name, _search)
 
 
-def choose_strategy(df: DataFrame, keys=()) -> str:
-    """Whole series by task, unless one is longer than a task should hold."""
+def choose_strategy(df: DataFrame, keys=(), rows: int = SERIES_ROWS) -> str:
+    """Whole series by task, unless one has more rows than a task should hold."""
     longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return "segment_tree" if longest <= SERIES_ROWS else "tiles"
+    return "segment_tree" if longest <= min(rows, SERIES_ROWS) else "tiles"
+
+
+def by_length(df: DataFrame, found: list[Threshold], keys) -> DataFrame:
+    """Long series in tiles, all others whole; with keys both can be there."""
+    if not keys:
+        return _strategies[choose_strategy(df)](df, found, ())
+    long = df.groupBy(*keys).count().where(F.col("count") > SERIES_ROWS).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    if long.isEmpty():
+        return _strategies["segment_tree"](df, found, keys)
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    short = _strategies["segment_tree"](df.join(long, on, "left_anti"), found, keys)
+    return short.unionByName(_strategies["tiles"](df.join(long, on, "left_semi"), found, keys))
 
 
 def first_passage(df: DataFrame, deltas, digits: int, keys=(), strategy: str = "auto", check: bool = True) -> DataFrame:
@@ -275,7 +299,7 @@ def first_passage(df: DataFrame, deltas, digits: int, keys=(), strategy: str = "
     if check:
         check_headroom(df, found)
     if strategy == "auto":
-        strategy = choose_strategy(df, keys)
+        return by_length(df, found, tuple(keys))
     if strategy == "device":
         raise ValueError("there is no device search; choose one of " + ", ".join(strategies()))
     if strategy not in _strategies:

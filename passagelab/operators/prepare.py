@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import join_series
+
 TIE_POLICIES = ("error", "first", "last", "mean")
 
 
@@ -28,7 +30,7 @@ def _observed(df: DataFrame, keys, made: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def _per_series(df: DataFrame, keys, **aggregates: Column) -> DataFrame:
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]), list(keys)) if keys else df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in aggregates.items()])))
+    return join_series(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]), keys)
 
 
 def _require(df: DataFrame, bad: Column, message: str) -> DataFrame:
@@ -98,31 +100,39 @@ def round_values(df: DataFrame, digits: int, keys=()) -> DataFrame:
     return df.withColumn("x", F.rint(F.col("x") * s) / s)
 
 
-def trailing_mean_fluctuations(df: DataFrame, window: int, denominator: str = "mean", offset="auto", on_nonpositive: str = "error", keys=()) -> DataFrame:
+def trailing_mean_fluctuations(df: DataFrame, window: int, denominator: str = "mean", offset="none", on_nonpositive: str = "error", keys=()) -> DataFrame:
     """Deviation from the mean of the last ``window`` observations, the first being 0.
 
-    ``mean`` gives percent of that mean, after a shift that makes values positive
-    (``auto``: to a minimum of 1, if it is below); ``scale`` divides by the
-    standard deviation of the deviations; ``none`` leaves them.
+    ``mean`` gives percent of that mean; its ``offset`` shifts the values first: a
+    number, or ``auto``, to a minimum of 1 if it is below, or ``none``. ``scale``
+    divides by the standard deviation of the deviations, the first left out, which
+    must be positive; ``none`` leaves them.
     """
     if window < 1 or denominator not in ("mean", "scale", "none") or on_nonpositive not in ("error", "missing"):
         raise ValueError("bad parameters of trailing_mean_fluctuations")
+    if isinstance(offset, str) and offset not in ("none", "auto") or not isinstance(offset, str) and not math.isfinite(offset):
+        raise ValueError("offset must be none, auto or a finite number")
+    if offset != "none" and denominator != "mean":
+        raise ValueError('offset applies to denominator "mean" only')
 
     def made(obs: DataFrame) -> DataFrame:
-        if denominator == "mean" and offset == "auto":
+        if offset == "auto":
             obs = _per_series(obs, keys, _shift=F.greatest(F.lit(0.0), 1.0 - F.min("x")))
         else:
-            obs = obs.withColumn("_shift", F.lit(float(offset) if denominator == "mean" else 0.0))
+            obs = obs.withColumn("_shift", F.lit(0.0 if offset == "none" else float(offset)))
         mean = F.avg(F.col("x") + F.col("_shift")).over(_order(keys).rowsBetween(-window, -1))
-        obs = obs.withColumn("_m", mean).withColumn("_d", F.coalesce(F.col("x") + F.col("_shift") - F.col("_m"), F.lit(0.0)))
+        obs = obs.withColumn("_m", mean).withColumn("_d", F.col("x") + F.col("_shift") - F.col("_m"))
+        first = F.col("_m").isNull()
         if denominator == "none":
-            return obs.withColumn("x", F.col("_d"))
+            return obs.withColumn("x", F.when(first, 0.0).otherwise(F.col("_d")))
         if denominator == "scale":
-            return _per_series(obs, keys, _s=F.stddev_samp("_d")).withColumn("x", F.col("_d") / F.col("_s"))
+            obs = _per_series(obs, keys, _s=F.stddev_samp("_d"))
+            obs = _require(obs, F.coalesce(F.col("_s") <= 0, F.lit(True)), "the deviations have no positive standard deviation")
+            return obs.withColumn("x", F.when(F.col("x").isNotNull(), F.when(first, 0.0).otherwise(F.col("_d") / F.col("_s"))))
         bad = F.col("_m") <= 0
         if on_nonpositive == "error":
             obs = _require(obs, bad, "a trailing mean is not positive")
-        return obs.withColumn("x", F.when(F.col("_m").isNull(), F.when(F.col("x").isNotNull(), 0.0)).when(~bad & F.col("x").isNotNull(), F.col("_d") * 100.0 / F.col("_m")))
+        return obs.withColumn("x", F.when(first, F.when(F.col("x").isNotNull(), 0.0)).when(~bad & F.col("x").isNotNull(), F.col("_d") * 100.0 / F.col("_m")))
 
     return _observed(df, keys, made)
 
@@ -176,36 +186,48 @@ def remove_rows(df: DataFrame, remove: Column, splice: bool = False, keys=()) ->
 
 def clip_quantile(df: DataFrame, q: float, splice: bool = False, keys=()) -> DataFrame:
     """Remove values whose magnitude is above the ``q``-quantile of magnitudes."""
-    if not 0 < q < 1:
-        raise ValueError("q must be between 0 and 1")
-    out = _per_series(df, keys, _q=F.expr(f"percentile(abs(x), {q!r})"))
+    if not 0 < q <= 1:
+        raise ValueError("q must be above 0 and at most 1")
+    out = _per_series(df, keys, _q=F.expr(f"percentile(abs(x), {float(q)!r}D)"))
     return remove_rows(out, F.abs("x") > F.col("_q"), splice, keys).select(*df.columns)
 
 
-def clip_sigma(df: DataFrame, k: float, center: str = "mean", scale: str = "std", splice: bool = False, keys=()) -> DataFrame:
-    """Remove values further than ``k`` scales from the centre: mean or median, std or mad (about the median)."""
+def clip_sigma(df: DataFrame, k: float = 3.0, center: str = "mean", scale: str = "std", splice: bool = False, keys=()) -> DataFrame:
+    """Remove values further than ``k`` scales from the centre: mean or median, std or mad (about the median).
+
+    A series whose scale isn't positive is an error.
+    """
     if k <= 0 or center not in ("mean", "median") or scale not in ("std", "mad"):
         raise ValueError("bad parameters of clip_sigma")
     out = _per_series(df, keys, _mean=F.avg("x"), _median=F.expr("percentile(x, 0.5)"), _std=F.stddev_samp("x"))
     out = _per_series(out, keys, _mad=F.expr("1.4826D * percentile(abs(x - _median), 0.5)"))
-    far = F.abs(F.col("x") - F.col(f"_{center}")) > k * F.col("_std" if scale == "std" else "_mad")
+    width = F.col("_std" if scale == "std" else "_mad")
+    none = F.raise_error(F.lit(f"the observed values have no positive {scale}")).cast("boolean")
+    far = F.when(F.coalesce(width <= 0, F.lit(True)), none).otherwise(F.abs(F.col("x") - F.col(f"_{center}")) > k * width)
     return remove_rows(out, far, splice, keys).select(*df.columns)
 
 
-def extreme_cut(counts: list[tuple[float, int]], n_rows: int, fraction: float, digits: int) -> tuple[float | None, int]:
+def extreme_cut(counts: list[tuple[float, int]], n_rows: int, fraction: float, digits: int) -> tuple[float, int]:
     """The last cut of the passes and their number, from distinct magnitudes with counts, largest first.
 
     The first pass cuts at the whole number below the largest magnitude, later
-    ones at ``digits`` decimals, until the rest is at most ``1 - fraction`` of all rows.
+    ones at ``digits`` decimals, until at most ``1 - fraction`` of all rows, missing
+    ones among them, is left. A pass must remove something and leave something.
     """
-    left, cut, passes, at = sum(c for _, c in counts), None, 0, 0
-    while at < len(counts) and left / n_rows > 1 - fraction:
+    if not counts:
+        raise ValueError("the series has no observed value")
+    left, cut, passes, at = n_rows, math.nan, 0, 0
+    while left / n_rows > 1 - fraction:
         s = 10.0 ** (digits if passes else 0)
-        cut = math.floor(counts[at][0] * s) / s
+        cut, begun = math.floor(counts[at][0] * s) / s, at
         while at < len(counts) and counts[at][0] >= cut:
             left -= counts[at][1]
             at += 1
         passes += 1
+        if at == begun:
+            raise ValueError(f"clip_extremes made no progress at cut {cut}")
+        if at == len(counts):
+            raise ValueError("clip_extremes removes every observation")
     return cut, passes
 
 
@@ -228,8 +250,7 @@ def clip_extremes(df: DataFrame, fraction: float = 0.004, digits: int = 0, splic
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "_cut": c}])
 
     cuts = hist.groupBy(*(keys or [F.lit("")])).applyInPandas(cut, schema)
-    out = df.join(cuts, list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))
-    return remove_rows(out, F.abs("x") >= F.col("_cut"), splice, keys).select(*df.columns)
+    return remove_rows(join_series(df, cuts, keys), F.abs("x") >= F.col("_cut"), splice, keys).select(*df.columns)
 
 
 def _with_totals(hist: DataFrame, keys) -> DataFrame:
@@ -249,15 +270,34 @@ class Record:
         return "-".join(step_tag(s) for s in self.steps) or "raw"
 
 
+# The short name of a step, and the parameter (with its default) that follows it.
+TAGS = {
+    "select_range": ("range", None),
+    "exclude_intervals": ("cut", None),
+    "collapse_ties": ("ties", None),
+    "round": ("round", ("digits", 0)),
+    "trailing_mean_fluctuations": ("trailing", ("window", 1)),
+    "log_returns": ("logret", None),
+    "log_levels": ("loglevels", None),
+    "differences": ("diff", None),
+    "detrend_moving_average": ("detrend", ("window", 1)),
+    "clip_quantile": ("clip", ("q", 1.0)),
+    "clip_sigma": ("sigma", ("k", 3)),
+    "clip_extremes": ("prune", ("fraction", 0.004)),
+}
+TRAILING = {"mean": "", "scale": "scaled", "none": "abs"}
+
+
 def step_tag(step: dict) -> str:
-    """A step's short name for paths."""
-    rest = "".join(str(v) for k, v in sorted(step.items()) if k != "op" and not isinstance(v, (list, tuple, dict)))
-    return f"{step['op']}{rest}".replace(" ", "").replace("/", "")
+    """A step's short name for paths; steps that aren't transforms go by their own."""
+    name, parameter = TAGS.get(step["op"], (step["op"], None))
+    tag = name + (str(step.get(*parameter)) if parameter else "")
+    return tag + (TRAILING[step.get("denominator", "mean")] if step["op"] == "trailing_mean_fluctuations" else "")
 
 
 #: Step name to transform.
 STEPS: dict[str, Callable] = {
-    "select_range": select_range,
+    "select_range": lambda df, keys=(), **p: select_range(df, p.pop("from", None), p.pop("to", None), keys, **p),
     "exclude_intervals": exclude_intervals,
     "collapse_ties": collapse_ties,
     "round": round_values,

@@ -29,7 +29,7 @@ def test_differences_and_logs(spark):
 def test_trailing_mean(spark):
     f = prepare.trailing_mean_fluctuations
     assert out(f(frame(spark, [10, 11, 12, 6]), 2)) == pytest.approx([0, 10, 1.5 * 100 / 10.5, -5.5 * 100 / 11.5])
-    assert out(f(frame(spark, [-4, 1, 6]), 1)) == pytest.approx([0, 500, 500 / 6])
+    assert out(f(frame(spark, [-4, 1, 6]), 1, offset="auto")) == pytest.approx([0, 500, 500 / 6])
     assert out(f(frame(spark, [1, 3, 2, 6]), 2, "none")) == [0, 2, 0, 3.5]
     assert out(f(frame(spark, [1, -1, 2]), 1, offset=0, on_nonpositive="missing")) == [0, -200, None]
     with pytest.raises(Exception, match="not positive"):
@@ -76,7 +76,7 @@ def test_ties(spark):
 def test_steps_are_recorded(spark):
     df, record = prepare.apply_steps(frame(spark, [1, 2, 4]), [{"op": "differences"}, {"op": "round", "digits": 1}])
     assert out(df) == [None, 1, 2] and [s["op"] for s in record.steps] == ["differences", "round"]
-    assert record.tag() == "differences-round1"
+    assert record.tag() == "diff-round1"
     with pytest.raises(ValueError, match="unknown step"):
         prepare.apply_steps(df, [{"op": "x"}])
 
@@ -85,6 +85,46 @@ def test_diagnostics(spark):
     f = frame(spark, [1.25, 2.5, None, 4.75, 4.75])
     assert diagnostics.resolution_digits(f).first()["digits"] == 2
     assert diagnostics.increment_scale(f).first()["scale"] == 1.25
-    assert diagnostics.suggest_digits(f, [1.0]) == (2, "recorded_resolution")
+    assert diagnostics.suggest_digits(f) == (2, "recorded_resolution")
+    assert diagnostics.suggest_digits(f, min_digits=4) == (4, "recorded_resolution")
+    assert diagnostics.suggest_digits(frame(spark, [1, 2, 3]), min_digits=1) == (1, "recorded_resolution")
+    assert [diagnostics.dispersion_digits(x) for x in (1.0, 0.5, 0.1, 0.01)] == [0, 1, 1, 2]
     assert diagnostics.value_summary(f).first()["n_observed"] == 4
     assert diagnostics.sampling_summary(f).first()["spacing_max"] == 1
+
+
+def test_clip_extremes_counts_missing_rows(spark):
+    values = [None] * 20 + [9.5, 8.2] + [1.0] * 78
+    assert prepare.extreme_cut([(9.5, 1), (8.2, 1), (1.0, 78)], 100, 0.004, 1) == (9.0, 1)
+    assert out(prepare.clip_extremes(frame(spark, values), 0.004, 1)) == [None] * 21 + [8.2] + [1.0] * 78
+    for counts, fraction in (([(2.0, 3)], 0.5), ([(5.0, 1), (4.0, 1)], 0.9)):
+        with pytest.raises(ValueError, match="every"):
+            prepare.extreme_cut(counts, sum(c for _, c in counts), fraction, 0)
+
+
+def test_trailing_mean_defaults(spark):
+    f = frame(spark, [1, 3, 2, 6])
+    std = (((2 - 11 / 6) ** 2 + (0 - 11 / 6) ** 2 + (3.5 - 11 / 6) ** 2) / 2) ** 0.5
+    assert out(prepare.trailing_mean_fluctuations(f, 2, "scale")) == pytest.approx([0, 2 / std, 0, 3.5 / std])
+    assert out(prepare.trailing_mean_fluctuations(f, 2, "none", offset="none")) == [0, 2, 0, 3.5]
+    assert out(prepare.trailing_mean_fluctuations(f, 2)) == pytest.approx([0, 200, 0, 140])
+    for bad in ({"denominator": "scale", "offset": "auto"}, {"offset": "x"}, {"denominator": "none", "offset": 1.0}):
+        with pytest.raises(ValueError, match="offset"):
+            prepare.trailing_mean_fluctuations(f, 2, **bad)
+    with pytest.raises(Exception, match="no positive"):
+        prepare.trailing_mean_fluctuations(frame(spark, [1, 1, 1]), 2, "scale").collect()
+
+
+def test_step_parameters(spark):
+    f = frame(spark, [1, 2, 3, 4])
+    df, record = prepare.apply_steps(f, [{"op": "select_range", "from": 2, "to": 3}, {"op": "clip_sigma"}, {"op": "clip_quantile", "q": 1}])
+    assert out(df) == [2, 3] and record.tag() == "range-sigma3-clip1"
+    with pytest.raises(Exception, match="no positive std"):
+        prepare.clip_sigma(frame(spark, [2, 2, 2])).collect()
+
+
+def test_null_keys_are_keys(spark):
+    f = spark.createDataFrame([(None, i, i, float(i)) for i in range(1, 5)] + [("a", i, i, float(i)) for i in range(1, 5)], "k string, row long, t long, x double")
+    for made in (prepare.clip_quantile(f, 0.5, keys=["k"]), prepare.clip_sigma(f, 1.0, keys=["k"]), prepare.clip_extremes(f, 0.2, keys=["k"]), prepare.trailing_mean_fluctuations(f, 2, offset="auto", keys=["k"])):
+        assert made.count() == 8
+    assert diagnostics.sampling_summary(f, keys=["k"]).count() == 2
