@@ -8,7 +8,7 @@ import warnings
 from dataclasses import dataclass
 from pathlib import Path
 
-from ..functions.grid import Threshold, linear_grid, log_grid, threshold
+from ..functions.grid import Threshold, decimals, linear_grid, log_grid, threshold
 from ..operators.prepare import STEPS, TIE_POLICIES
 from ..sources.readers import TIME_UNITS
 
@@ -27,6 +27,10 @@ DEFAULTS: dict[str, dict] = {
 CHOICES = {("input", "time_axis"): ("elapsed", "index"), ("input", "missing_policy"): ("drop", "error"), ("input", "tie_policy"): TIE_POLICIES, ("input", "time_unit"): TIME_UNITS, ("input", "format"): ("csv", "dat", "arrow", "tick", "parquet"), ("gaps", "detect"): ("cadence", "none"), ("gaps", "mode"): ("elapsed", "exact"), ("thresholds", "mode"): ("linear", "log", "explicit"), ("output", "format"): ("parquet", "csv"), ("run", "log_level"): ("debug", "info", "warn", "error")}
 
 
+#: Keys that are known but mean nothing on a cluster: it has no device kernels, and Spark schedules.
+IDLE = (("algorithm", "backend"), ("algorithm", "chunk_size"), ("limits", "max_vram_gb"))
+
+
 @dataclass(frozen=True)
 class Settings:
     """A checked configuration; ``settings["section"]["key"]``."""
@@ -98,8 +102,13 @@ def validate(raw: dict, base: str = ".") -> Settings:
     for k in ignored:
         if raw.get("thresholds", {}).get(k) is not None:
             warnings.warn(f"[thresholds] {k} has no effect in mode {t['mode']}", stacklevel=2)
+    for section, k in IDLE:
+        if raw.get(section, {}).get(k) not in (None, DEFAULTS[section][k]):
+            warnings.warn(f"[{section}] {k} has no effect here", stacklevel=2)
     if q["digits"] != "auto":
         threshold_list(t, q["digits"])
+    elif threshold_decimals(t) > q["auto_max_digits"]:
+        raise ValueError("thresholds have more decimals than auto_max_digits")
     return Settings(values, base)
 
 
@@ -107,6 +116,12 @@ def load_settings(path: str) -> Settings:
     return validate(effective_config(path), str(Path(path).parent))
 
 
+def threshold_decimals(t: dict) -> int:
+    """The decimals that a grid needs so that all thresholds of a configuration lie on it."""
+    given = t["values"] if t["mode"] == "explicit" else [t["min"], t["max"], *([t["step"]] if t["mode"] == "linear" else [])]
+    return max(len(x.strip().partition(".")[2].rstrip("0")) if isinstance(x, str) else decimals(x) for x in given)
+
+
 def threshold_list(t: dict, digits: int) -> list[Threshold]:
     if t["mode"] == "explicit":
         return sorted({threshold(v, digits) for v in t["values"]})

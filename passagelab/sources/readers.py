@@ -1,13 +1,15 @@
 """Series files: CSV, DAT, Arrow, Parquet and tick files as series frames.
 
 The result has ``row`` (the line's place, from 1), ``t`` (null without time
-column) and ``x`` (null where missing). The order of a file is that of its lines:
-text is read whole, one task a file, as a split could not tell a line's place;
-large inputs are Parquet with an order column.
+column) and ``x`` (null where missing). The order of a file is that of its lines,
+that of a folder's files that of their names. Text is read in splits: a first pass
+counts the lines of each, one row a split, and a second numbers them.
 """
 
 from __future__ import annotations
 
+import csv
+import json
 import re
 from dataclasses import dataclass
 
@@ -61,32 +63,83 @@ def java_format(text: str) -> str:
 
 
 def nanoseconds(text: Column, time_format: str, epoch_unit: str) -> Column:
-    """Epoch nanoseconds of a number in ``epoch_unit``, an ISO 8601 stamp of up to nine decimals, or a format."""
-    clean = F.trim(text)
+    """Epoch nanoseconds of a number in ``epoch_unit``, an ISO 8601 stamp of up to nine decimals, or a format.
+
+    ``text`` is the column ``_text``. Stamps without zone are in UTC, whatever the session's zone.
+    """
+    wall = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
     if time_format:
-        return F.unix_micros(F.try_to_timestamp(clean, F.lit(java_format(time_format)))) * 1000
+        parsed = f"cast(try_to_timestamp(trim(_text), '{java_format(time_format)}') as timestamp_ntz)"
+        return F.expr(wall.format(parsed)) * 1000
+    clean = F.trim(text)
     number = F.expr("try_cast(_text as decimal(38,9))")
     if epoch_unit not in UNIT_NANOSECONDS:
         raise ValueError(f"unknown epoch unit {epoch_unit!r}")
     counted = (number * F.lit(UNIT_NANOSECONDS[epoch_unit])).cast("long")
-    whole = F.regexp_replace(clean, r"\.\d+", "")
+    whole = "regexp_replace(trim(_text), '[.][0-9]+', '')"
     part = F.rpad(F.regexp_extract(clean, r"\.(\d{1,9})", 1), 9, "0").cast("long")
-    stamp = F.unix_micros(F.try_to_timestamp(F.regexp_replace(whole, "T", " "))) * 1000 + F.coalesce(F.when(clean.contains("."), part), F.lit(0))
+    zoned = clean.rlike(r"(?i)(z|[+-]\d\d(:?\d\d)?)$") & clean.contains(":")
+    second = F.when(zoned, F.expr(f"unix_micros(try_to_timestamp({whole}))")).otherwise(F.expr(wall.format(f"try_cast({whole} as timestamp_ntz)")))
+    stamp = second * 1000 + F.coalesce(F.when(clean.contains("."), part), F.lit(0))
     return F.when(number.isNotNull(), counted).otherwise(stamp)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place; blank ones count."""
+    """``(file, line, at, value)``: lines with their place in their file and among all; blank ones count."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    starts, place, last, at = {}, 0, None, 0
+    for file, block, n in sorted(map(tuple, raw.groupBy("file", "block").count().collect())):
+        place = place if file == last else 0
+        starts[file, block] = (place, at)
+        place, at, last = place + n, at + n, file
+    shared = spark.sparkContext.broadcast(starts)
+
+    def numbered(batches):
+        seen: dict[tuple, int] = {}
+        for b in batches:
+            value, files, blocks = (c.to_pylist() for c in b.columns)
+            lines, places = [], []
+            for key in zip(files, blocks):
+                n = seen[key] = seen.get(key, 0) + 1
+                line, at = shared.value[key]
+                lines.append(line + n)
+                places.append(at + n)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lines, pa.int64()), pa.array(places, pa.int64()), b.column(0)], names=["file", "line", "at", "value"])
+
+    return raw.mapInArrow(numbered, "file string, line long, at long, value string")
+
 
+def _split(lines: DataFrame, delimiter: str | None) -> DataFrame:
+    """``lines`` with their ``cells``: quoted as CSV files do it, or between runs of blanks without a delimiter."""
+
+    def split(batches):
+        for b in batches:
+            values = b.column("value").to_pylist()
+            cells = [v.split() for v in values] if delimiter is None else [next(csv.reader([v], delimiter=delimiter), []) for v in values]
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("line"), b.column("at"), pa.array(cells, pa.list_(pa.string()))], names=["file", "line", "at", "cells"])
+
+    return lines.mapInArrow(split, "file string, line long, at long, cells array<string>")
+
+
+def _arrow_tables(spark: SparkSession, path: str) -> DataFrame:
     def numbered(batches):
         for b in batches:
-            for text in b.column("content"):
-                lines = text.as_py().decode("utf-8").replace("\r\n", "\n").split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                yield pa.RecordBatch.from_arrays([pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.string())], names=["line", "value"])
+            for content in b.column("content"):
+                t = pa.ipc.open_file(pa.BufferReader(content.as_buffer())).read_all()
+                cols = [c.cast(pa.string()) if not pa.types.is_floating(c.type) else pa.array([None if x is None else repr(x) for x in c.to_pylist()], pa.string()) for c in t.columns]
+                yield from pa.table([pa.array(range(1, t.num_rows + 1), pa.int64()), *cols], names=["row", *t.column_names]).to_batches()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(numbered, "line long, value string")
+    def named(batches):
+        for b in batches:
+            for content in b.column("content"):
+                schema = pa.ipc.open_file(pa.BufferReader(content.as_buffer())).schema
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(schema.names)])], names=["names"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    found = files.mapInArrow(named, "names string").distinct().collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} must be one Arrow file or several with the same columns")
+    return files.mapInArrow(numbered, ", ".join(["row long", *(f"`{n}` string" for n in json.loads(found[0][0]))]))
 
 
 def _cells(spark: SparkSession, path: str, form: str, o: SeriesOptions) -> DataFrame:
@@ -96,26 +149,20 @@ def _cells(spark: SparkSession, path: str, form: str, o: SeriesOptions) -> DataF
             raise ValueError("a Parquet series needs order_column")
         return df.withColumn("row", F.row_number().over(Window.orderBy(o.order_column)).cast("long"))
     if form == "arrow":
-
-        def numbered(batches):
-            for b in batches:
-                for content in b.column("content"):
-                    t = pa.ipc.open_file(pa.BufferReader(content.as_buffer())).read_all()
-                    cols = [c.cast(pa.string()) if not pa.types.is_floating(c.type) else pa.array([None if x is None else repr(x) for x in c.to_pylist()], pa.string()) for c in t.columns]
-                    yield from pa.table([pa.array(range(1, t.num_rows + 1), pa.int64()), *cols], names=["row", *t.column_names]).to_batches()
-
-        first = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-        names = pa.ipc.open_file(pa.BufferReader(bytes(first[0][0]))).schema.names
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(numbered, ", ".join(["row long", *(f"`{n}` string" for n in names)]))
-    lines = _lines(spark, path)
-    cells = F.split(F.trim("value"), r"\s+") if form == "dat" else F.split("value", re.escape(o.delimiter or ","), -1)
-    head = lines.where("line = 1").select(cells.alias("c")).first()
+        return _arrow_tables(spark, path)
+    lines = _split(_lines(spark, path), None if form == "dat" else o.delimiter or ",")
+    head = lines.where("line = 1").select("cells").first()
     if head is None:
         raise ValueError(f"{path} is empty")
-    names = list(head[0]) if o.header else [f"Column{i + 1}" for i in range(len(head[0]))]
-    body = lines.where("line > 1") if o.header else lines
-    strip = lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
-    return body.select((F.col("line") - (1 if o.header else 0)).alias("row"), cells.alias("_c")).select("row", *[strip(F.get("_c", F.lit(i))).alias(n.strip('"')) for i, n in enumerate(names)])
+    names = [n.strip() for n in head[0]] if o.header else [f"Column{i + 1}" for i in range(len(head[0]))]
+    if not o.header:
+        body, row = lines, F.col("at")
+    else:
+        # every file has its own header
+        before = {f: i + 1 for i, (f,) in enumerate(sorted(map(tuple, lines.where("line = 1").select("file").collect())))}
+        headers = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+        body, row = lines.where("line > 1"), F.col("at") - headers[F.col("file")]
+    return body.select(row.cast("long").alias("row"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_series(spark: SparkSession, path: str, **options) -> DataFrame:

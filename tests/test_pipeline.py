@@ -47,13 +47,98 @@ def test_runs_resumes_and_widens(spark, folder):
     d = c.distribution("0.5")
     assert abs(sum(r["pmf"] for r in d.collect()) - 1) < 1e-12
     assert c.load_distributions(["0.5", "1.0"]).select("delta").distinct().count() == 2
-    assert c.export_text("0.5").startswith("time pdf cdf\r\n1 ")
+    paths = c.export_legacy(str(folder / "legacy"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == [f"WTS_walk_deltais{x}.dat" for x in c.deltas()]
+    assert (folder / "legacy" / "WTS_walk_deltais0.5.dat").read_bytes().startswith(b"time pdf cdf\r\n1 ")
+    assert c.find(0.5) == c.find("0.50") == "0.5" and c.distribution(1.0).count() > 0
+    assert [s["status"] for s in c.sessions()] == ["completed"] * 3 and len({s["id"] for s in c.sessions()}) == 3
+    assert (folder / "out" / first.id / "summary.csv").read_text().count("\n") == 6
+    assert "Thresholds: 5 from 0.5 to 2.5" in (folder / "out" / first.id / "README.md").read_text()
+    assert c.metadata()["record_length"] == c.record_length() >= c.metadata()["n_observed"]
+    assert any("thresholds" in line for line in pipeline.lineage(spark, first.path))
     assert sum(r[0] for r in c.segment_lengths().collect()) == c.load_series().count()
     assert storage.list_collections(spark, str(folder / "out"))[0]["n_thresholds"] == 5
     with pytest.raises(ValueError, match="no threshold"):
         c.distribution("9.9")
 
 
+def test_identity_is_the_content(spark, folder):
+    first = pipeline.run_pipeline(spark, str(folder / "a.toml"))
+    (folder / "copy.csv").write_text((folder / "walk.csv").read_text())
+    (folder / "c.toml").write_text((folder / "a.toml").read_text().replace("walk.csv", "copy.csv"))
+    assert pipeline.prepare_series(spark, config.load_settings(str(folder / "c.toml"))).identity == pipeline.prepare_series(spark, config.load_settings(str(folder / "a.toml"))).identity
+    lines = (folder / "walk.csv").read_text().split("\n")
+    lines[10] = "77.125"
+    (folder / "walk.csv").write_text("\n".join(lines))
+    changed = pipeline.run_pipeline(spark, str(folder / "a.toml"))
+    assert changed.id != first.id and len(changed.computed) == 3
+
+
+def test_overwrite_keeps_a_backup_and_csv_is_csv(spark, folder):
+    text = (folder / "a.toml").read_text()
+    (folder / "o.toml").write_text(text + 'format = "csv"\noverwrite = true\nstore_waiting_times = true\n')
+    first = pipeline.run_pipeline(spark, str(folder / "o.toml"))
+    base = folder / "out" / first.id
+    assert list(base.glob("distributions/delta=0.5/*.csv")) and not list(base.glob("distributions/**/*.parquet"))
+    again = pipeline.run_pipeline(spark, str(folder / "o.toml"))
+    assert len(again.computed) == 3 and (base / "backup" / "distributions" / "delta=0.5#1").is_dir()
+    c = storage.Collection(spark, first.path)
+    plain = pipeline.run_pipeline(spark, str(folder / "a.toml"))
+    assert plain.id == first.id and plain.computed == []
+    from passagelab.operators import distribution
+
+    waits = c.waiting_times("0.5")
+    assert distribution.equal_distributions(c.distribution("0.5"), distribution.empirical_distribution(waits).select(*c.distribution("0.5").columns))
+
+
+def test_descriptors(spark, folder):
+    from passagelab.plans import provenance
+
+    (folder / "datasets").mkdir()
+    (folder / "datasets" / "d.toml").write_text(f'slug = "named"\nsha256 = "{provenance.file_sha256(str(folder / "walk.csv"))}"\n')
+    (folder / "source.toml").write_text('schema = "run/1"\nrun_id = "r7"\n[producer]\nname = "maker"\nversion = "1.2"\ngit_tree_sha1 = "abc"\n')
+    text = (folder / "a.toml").read_text().replace('value_column = "value"', 'value_column = "value"\ndataset = "d"\nsource_descriptor = "source.toml"')
+    (folder / "d.toml").write_text(text)
+    run = pipeline.run_pipeline(spark, str(folder / "d.toml"))
+    c = storage.Collection(spark, run.path)
+    assert run.id.startswith("named-") and c.source_descriptor()["run_id"] == "r7"
+    assert c.source_summary() == {"schema": "run/1", "producer": "maker", "producer_version": "1.2", "run_id": "r7", "git_tree_sha1": "abc", "git_dirty": None, "config_hash": None, "seed": None, "created": None, "identity": True}
+    assert any("maker 1.2, run r7" in line for line in pipeline.lineage(spark, run.path))
+    (folder / "datasets" / "d.toml").write_text('sha256 = "0"\n')
+    with pytest.raises(ValueError, match="checksum"):
+        pipeline.run_pipeline(spark, str(folder / "d.toml"))
+
+
+def test_tree_hash_is_gits(tmp_path):
+    import subprocess
+
+    from passagelab.plans import provenance
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x\n")
+    (tmp_path / "a.txt").write_text("hello\n")
+    (tmp_path / "empty").mkdir()
+    subprocess.run("git init -q . && git add -A && git write-tree > .tree", shell=True, cwd=tmp_path, check=True)
+    assert provenance.tree_hash(tmp_path) == (tmp_path / ".tree").read_text().strip()
+
+
+def test_work_bound(spark, folder):
+    text = (folder / "b.toml").read_text()
+    (folder / "w.toml").write_text(text + "[limits]\nmax_reference_work = 2000\n")
+    settings = config.load_settings(str(folder / "w.toml"))
+    p = pipeline.prepare_series(spark, settings)
+    found = config.threshold_list(settings["thresholds"], p.digits)
+    work = [pipeline.check_work(p.series, x, p.digits, settings, "segment_tree") for x in found]
+    assert work == sorted(work)
+    within = [x for x, w in zip(found, work) if w <= 2000]
+    checks = pipeline.early_check(p.series, found, p.digits, settings, "segment_tree")
+    assert [c["delta"] for c in checks] == [str(x) for x in within[-1:]]
+    late = pipeline.late_checks(p.series, found, p.digits, settings, "segment_tree", checks)
+    assert all(c["skipped"] == (c.get("work", 0) > 2000) for c in late)
+    equal, rows = pipeline.crosscheck(spark, config.load_settings(str(folder / "b.toml")), 2, ("segment_tree", "sweep"))
+    assert equal and len(rows) == 6
+
+
 def test_wrong_strategy_is_caught_before_writing(spark, folder):
     def wrong(df, found, keys=()):
         return passage._strategies["segment_tree"](df, found, keys).withColumn("tau", passage.F.col("tau") + 1)
@@ -109,6 +194,22 @@ def test_readers(spark, tmp_path):
     (tmp_path / "g.csv").write_text("value\n\n1.5\n\n2\n\n")
     axis = readers.sample_axis(readers.read_series(spark, str(tmp_path / "g.csv"))).where("x IS NOT NULL")
     assert [r["t"] for r in axis.orderBy("t").collect()] == [1, 3]
+    (tmp_path / "q.csv").write_text('name,value\n"x,y",1.5\n"say ""hi""",2.5\n')
+    assert [r["x"] for r in readers.read_series(spark, str(tmp_path / "q.csv"), value_column="value").orderBy("row").collect()] == [1.5, 2.5]
+    (tmp_path / "days").mkdir()
+    (tmp_path / "days" / "1.csv").write_text("value\n1\n2\n")
+    (tmp_path / "days" / "2.csv").write_text("value\n3\n")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = readers.read_series(spark, str(tmp_path / "days"), format="csv", value_column="value")
+        assert [(r["row"], r["x"]) for r in df.orderBy("row").collect()] == [(1, 1), (2, 2), (3, 3)]
+        df = readers.read_series(spark, str(tmp_path / "a.csv"), value_column="value", time_column="stamp", time_unit="minute")
+        assert [r["t"] for r in df.orderBy("row").collect()] == [26297280, 26297281, 26297282]
+        (tmp_path / "z.csv").write_text("stamp,value\n2020-01-01T02:00:00.25+02:00,1\n2020-01-01T00:00:00.25Z,2\n")
+        df = readers.read_series(spark, str(tmp_path / "z.csv"), value_column="value", time_column="stamp", time_unit="millisecond")
+        assert [r["t"] for r in df.orderBy("row").collect()] == [1577836800250, 1577836800250]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     with pytest.raises(ValueError, match="no column"):
         readers.read_series(spark, str(tmp_path / "g.csv"), value_column="zzz")
     with pytest.raises(ValueError):
