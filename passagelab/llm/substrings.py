@@ -1,119 +1,175 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes are split into memory-sized groups by prefixes of varying length: a
-prefix that too many suffixes share is prolonged by further words, so frequent
-openings are spread and rare ones stay together. Every group builds its subtrees
-from its sorted suffixes and their common prefixes; an inner node at least
-``length`` words deep is a maximal repeat, and its documents other than the first
-lose the words it covers.
+Of all suffixes only those are looked at that begin in the reach of a repeated
+anchor. They are split into memory-sized groups by prefixes of the anchor, of
+varying length: a prefix that too many share is prolonged by further words, so
+frequent openings are spread and rare ones stay together. Every group builds its
+subtrees: it names the suffixes' prefixes of 1, 2, 4, 8 and 16 words, sorts the
+suffixes by these names, and takes the common prefixes of neighbours. Inner nodes
+at least ``length`` words deep are the maximal repeats, and the documents below one
+other than its first lose the words it covers.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .fragments import BASES, BYTE_VALUES, BYTE_VALUES_2, Chunk, Kind, Rolling, U, mixed, remove_repeats, united
+from .fragments import BASE, BYTE_VALUES, CHUNK_BYTES, Chunk, Kind, Rolling, U, mixed, remove_repeats
 
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 6
-#: Prefix lengths that a suffix can be grouped by, short of the whole window.
-PREFIXES = (1, 2, 4, 8)
-#: Counters of suffixes for each prefix length.
+#: Words whose hashes are made at once.
+HASHED_WORDS = 1 << 16
+#: Prefix lengths that a group can have, short of the whole anchor.
+PREFIXES = (1, 2, 4)
+#: Counters of anchors for each prefix length.
 COUNTERS = 1 << 14
 #: A prefix is prolonged if it has more than this share of a mean group.
 SHARE = 0.25
+#: Lengths of prefixes that are named; their sum bounds the common prefixes that are told apart.
+NAMED = (1, 2, 4, 8, 16)
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = re.compile(rb"[\t-\r ]")
 
 
-def word_chunk(kind: Kind, texts: list[str]) -> Chunk:
-    """The words of some texts; the buffer has them with one space in between."""
-    split = [t.encode().split() for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    buffer = b" ".join(b" ".join(w) for w in split if w)
-    raw = np.frombuffer(buffer, np.uint8)
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
-    if not len(raw):
-        starts = ends = np.zeros(0, np.int64)
-    first = Rolling(BYTE_VALUES[raw], BASES[0]).between(starts, ends)
-    return Chunk(kind, first, lambda: Rolling(BYTE_VALUES_2[raw], BASES[1]).between(starts, ends), counts, buffer, starts, ends)
+def word_pieces(raw: bytes, length: int):
+    """``(place of the first word, words joined by one space)``; pieces share ``length - 1`` words."""
+    at, place, carry = 0, 0, []
+    while at < len(raw):
+        white = WHITE.search(raw, at + CHUNK_BYTES)
+        end = white.start() if white else len(raw)
+        words = carry + raw[at:end].split()
+        yield place, b" ".join(words)
+        carry = words[len(words) - min(len(words), length - 1) :]
+        place += len(words) - len(carry)
+        at = end
+
+
+def edges(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a buffer start and end; one space stands between them."""
+    if not buffer:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
+    return np.r_[0, gaps + 1], np.r_[gaps, len(buffer)]
+
+
+def word_units(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends = edges(buffer)
+    raw, values = np.frombuffer(buffer, np.uint8), [np.zeros(0, U)]
+    for i in range(0, len(starts), HASHED_WORDS):
+        a, b = starts[i : i + HASHED_WORDS], ends[i : i + HASHED_WORDS]
+        values.append(Rolling(BYTE_VALUES[raw[a[0] : b[-1]]], BASE).between(a - a[0], b - a[0]))
+    return np.concatenate(values), starts, ends
 
 
 def prefix_sketch(chunk: Chunk) -> np.ndarray:
-    """How many windows begin with a prefix, by its length and hash."""
-    return np.stack([np.bincount((chunk.roll.runs(chunk.windows, n) >> U(50)).astype(np.int64), minlength=COUNTERS) for n in PREFIXES])
+    """How many anchors begin with a prefix, by its length and hash."""
+    at = chunk.windows[chunk.grams[chunk.windows] == chunk.anchors]
+    return np.stack([np.bincount((chunk.roll.runs(at, n) >> U(50)).astype(np.int64), minlength=COUNTERS) for n in PREFIXES])
 
 
 def prefix_plan(totals, groups: int) -> np.ndarray:
     """Which prefixes, by length and hash, are too frequent to be a group's."""
     if totals is None:
         return np.zeros((len(PREFIXES), COUNTERS), bool)
-    return totals > np.maximum(SHARE * totals.sum(axis=1, keepdims=True) / groups, 2.0 * totals.sum(axis=1, keepdims=True) / COUNTERS)
+    mean = totals.sum(axis=1, keepdims=True) / groups
+    return totals > np.maximum(SHARE * mean, 2.0 * totals.sum(axis=1, keepdims=True) / COUNTERS)
 
 
-def send_suffixes(chunk: Chunk, starts: np.ndarray, anchors, ids, keys, plan: np.ndarray, groups: int):
-    """Suffixes cut after the window, under the shortest prefix that isn't too frequent."""
-    if not len(starts):
-        return
-    key = mixed(chunk.roll.runs(starts, chunk.kind.length) + U(len(PREFIXES)))
-    open_ = np.ones(len(starts), bool)
+def prefix_of(chunk: Chunk, begins: np.ndarray, anchors: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """The shortest prefix of each anchor that isn't too frequent, as a number."""
+    at = chunk.anchor_places(begins, anchors)
+    key = mixed(anchors + U(len(PREFIXES)))
+    open_ = np.ones(len(at), bool)
     for i, n in enumerate(PREFIXES):
-        h = chunk.roll.runs(starts, n)
+        if n >= chunk.kind.gram:
+            break
+        h = chunk.roll.runs(at, n)
         ends = open_ & ~plan[i][(h >> U(50)).astype(np.int64)]
         key[ends] = mixed(h[ends] + U(i))
         open_ &= ~ends
-    group = (key % U(groups)).astype(np.int64)
-    doc = chunk.doc[starts]
-    place = starts - chunk.offsets[doc]
-    a, b = chunk.unit_starts[starts], chunk.unit_ends[starts + chunk.kind.length - 1]
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
-    buffer = chunk.buffer
-    for x, y in zip(cut, cut[1:]):
-        o = order[x:y]
-        text = b"\n".join([buffer[i:j] for i, j in zip(a[o].tolist(), b[o].tolist())])
-        yield int(group[o[0]]), (np.diff(ids[doc[o]], prepend=0), keys[doc[o]].astype(np.uint32), place[o].astype(np.int32), text), len(text)
-
-
-def deep_nodes(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The group's suffix tree, as far as its nodes at the window's depth go.
-
-    Returns the suffixes' lexicographic order and, along it, the number of the
-    node. Suffixes are cut at the window, so one is below the same deep node as
-    the one before it just if they are equal.
+    return key
+
+
+class Names:
+    """Numbers for the prefixes of all suffixes of a sequence of words, in the order of the prefixes.
+
+    Equal prefixes have equal names. The words' own order is that of their first
+    occurrence, as good as any other for a tree.
     """
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    new = np.fromiter((suffixes[i] != suffixes[j] for i, j in zip(order, order[1:])), bool, max(0, len(order) - 1))
-    return np.array(order, np.int64), np.r_[0, np.cumsum(new)] if order else np.zeros(0, np.int64)
 
+    def __init__(self, buffer: bytes):
+        starts, _ = edges(buffer)
+        data = buffer + b" "  # every word with the space behind it
+        offsets = np.r_[starts, len(data)] if len(starts) else np.zeros(1, np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        self.n = len(words)
+        self.of = {1: words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1}
+        for n in NAMED[1:]:
+            half = self.of[n // 2]
+            ahead = np.zeros_like(half)
+            ahead[: max(0, self.n - n // 2)] = half[n // 2 :]
+            self.of[n] = np.unique(half * (self.n + 2) + ahead, return_inverse=True)[1] + 1
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The lengths of the common prefixes of suffixes, up to the sum of the named lengths."""
+        out = np.zeros(len(x), np.int64)
+        for n in reversed(NAMED):
+            inside = np.maximum(x, y) + out < self.n
+            same = np.zeros(len(x), bool)
+            i = np.flatnonzero(inside)
+            same[i] = self.of[n][x[i] + out[i]] == self.of[n][y[i] + out[i]]
+            out += n * same
+        return np.minimum(out, self.n - np.maximum(x, y))
+
+
+def subtrees(buffer: bytes, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subtrees below the inner nodes that are at least ``depth`` words deep and whose parents aren't.
+
+    Returns the order of the suffixes, for each its subtree's number, and for
+    each subtree the depth of its topmost node: the length of the maximal repeat
+    (0 for a leaf that stands alone), as far as lengths are told apart.
+    """
+    names = Names(buffer)
+    order = np.argsort(names.of[16][suffixes], kind="stable")
+    sorted_ = suffixes[order]
+    common = names.common(sorted_[:-1], sorted_[1:])
+    node = np.cumsum(np.r_[0, common < depth]) if len(order) else np.zeros(0, np.int64)
+    deep = np.full(int(node[-1]) + 1 if len(node) else 0, np.iinfo(np.int64).max)
+    inner = common >= depth
+    np.minimum.at(deep, node[1:][inner], common[inner])
+    deep[deep == np.iinfo(np.int64).max] = 0
+    return order, node, deep
+
+
+def word_classes(length: int):
+    def classes(buffer: bytes, units, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, node, _ = subtrees(buffer, starts, length)
+        return order, node
 
-def meet_suffixes(kind: Kind, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.concatenate([np.cumsum(p[0]) for p in parts])
-    keys, places = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2))
-    order, node = deep_nodes([s for p in parts for s in p[3].split(b"\n")])
-    own = ids[order]
-    first = np.full(int(node[-1]) + 1 if len(node) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(first, node, own)
-    gone = order[own > first[node]]
-    return ids[gone], keys[gone], places[gone]
+    return classes
 
 
 def cut_words(text: str | None, starts: np.ndarray, ends: np.ndarray) -> tuple:
     words = (text or "").encode().split()
-    gone = united(starts, ends, len(words))
-    kept = [w for w, g in zip(words, gone.tolist()) if not g] if len(starts) else words
-    return len(words), int(gone.sum()), b" ".join(kept).decode()
+    kept, at = [], 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
 
 def repeats(length: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS) -> Kind:
-    return Kind(length, gram, word_chunk, send_suffixes, meet_suffixes, later=False, groups_each=1, remember=True)
+    if not 1 <= length <= sum(NAMED):
+        raise ValueError(f"windows must have 1 to {sum(NAMED)} words")
+    return Kind(length, min(gram, length), word_pieces, word_units, b" ", prefix_of, word_classes(length), later=False)
 
 
 def remove_repeated_words(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFrame:
@@ -124,9 +180,9 @@ def remove_repeated_words(docs: DataFrame, length: int = WINDOW_WORDS) -> DataFr
     document with a smaller id, all windows being those of the input. ``kept`` is
     the rest, joined by single spaces. Null texts have no words; a row without id
     keeps all its words and takes none from others; rows with one id don't take
-    words from each other. Columns with the names made here are refused.
+    words from each other. Columns with the names made here are replaced.
     """
-    return remove_repeats(docs, repeats(length, min(ANCHOR_WORDS, length)), cut_words, "n_words long, n_removed long, kept string", prefix_sketch, prefix_plan)
+    return remove_repeats(docs, repeats(length), cut_words, "n_words long, n_removed long, kept string", prefix_sketch, prefix_plan)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Suffix-array dedup of byte strings, built blockwise with a difference cover.
 
 Texts are cut into the stretches that hold repeated anchors, and each group of
-stretches gets its own suffix array. The suffixes that begin a window are sorted
-one bucket of first bytes at a time. Ties longer than the cover's period are not
-compared on: any two places have a distance, below the period, at which both are
-in the cover, and there their ranks, computed once, decide. So a bucket needs
-memory for its own suffixes only, however long the repeats are.
+stretches gets its own suffix array over the places where a window begins. They
+are sorted one bucket of first bytes at a time, by no more than 64 bytes. Ties are
+not compared on: any two places have a distance, below the cover's period, at which
+both are in the cover, and there ranks of the cover's places, computed once, decide.
+(Stretches are laid out with their anchors at multiples of the period, so most ties
+have one such distance, and a sort by ranks does.) So a bucket needs memory for its own suffixes only, and the ranks take a place for
+each of six in 31 bytes, however long the repeats are.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .fragments import BYTE_VALUES, BYTE_VALUES_2, Chunk, Kind, U, mixed, remove_repeats, run_starts, united
+from .fragments import BYTE_VALUES, CHUNK_BYTES, Chunk, Kind, U, _inner, remove_repeats
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 32
@@ -24,7 +26,7 @@ COVER = (0, 1, 3, 8, 12, 18)
 PERIOD = 31
 #: Suffixes that are sorted at once.
 BLOCK_SUFFIXES = 1 << 18
-#: Ties of at most this many suffixes are resolved by ranks of the cover.
+#: Ties of at most this many suffixes are resolved pair by pair, larger ones by residues.
 FEW = 16
 
 
@@ -40,6 +42,8 @@ def shifts() -> np.ndarray:
 
 
 SHIFTS = shifts()
+SLOT = np.zeros(PERIOD, np.int64)
+SLOT[list(COVER)] = np.arange(len(COVER))
 
 
 class Text:
@@ -47,7 +51,7 @@ class Text:
 
     def __init__(self, raw: bytes, depth: int):
         self.n = len(raw)
-        eights = np.frombuffer(raw + bytes(2 * depth + 2 * PERIOD + 16), np.uint8).astype(U)
+        eights = np.frombuffer(raw + bytes(2 * depth + 4 * PERIOD + 16), np.uint8).astype(U)
         for width in (1, 2, 4):
             eights = (eights[:-width] << U(8 * width)) | eights[width:]
         self.eights = eights
@@ -56,174 +60,174 @@ class Text:
         return self.eights[at]
 
 
-def refine(order: np.ndarray, node: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
-    """Sort ties further. ``order`` is sorted, ``node`` numbers its ties, ``key(places)`` is their next key."""
-    size = np.bincount(node)
-    open_ = np.flatnonzero(size[node] > 1)
-    if not len(open_):
-        return order, node
-    k = key(order[open_])
-    by = np.lexsort((k, node[open_]))
-    order = order.copy()
-    order[open_] = order[open_][by]
-    new = np.zeros(len(order), bool)
-    new[1:] = node[1:] != node[:-1]
-    k = k[by]
-    same = np.zeros(len(order), U)
-    same[open_] = k
-    new[1:] |= (node[1:] == node[:-1]) & (same[1:] != same[:-1])
-    return order, np.cumsum(new)
-
-
-def cover_ranks(text: Text) -> np.ndarray:
-    """Ranks of the cover's places in the order of their whole suffixes; 0 elsewhere.
-
-    The ranks by one period are doubled until no tie is left; only then do they
-    order any suffixes without contradiction.
-    """
-    order = np.sort(np.concatenate([np.arange(c, text.n + PERIOD, PERIOD) for c in COVER]))
-    node = np.zeros(len(order), np.int64)
-    for at in range(0, PERIOD, 8):
-        order, node = refine(order, node, lambda x, at=at: text.key(x + at))
-    ranks = np.zeros(text.n + 2 * PERIOD, np.int64)
-    ranks[order] = node + 1
-    known, classes = PERIOD, 0
-    while classes < node[-1] < len(order) - 1:
-        classes = node[-1]
-        order, node = refine(order, node, lambda x, known=known: ranks[np.minimum(x + known, len(ranks) - 1)].astype(U))
-        ranks[order] = node + 1
-        known *= 2
-    return ranks
-
-
-def tied_by_cover(order: np.ndarray, node: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """``order`` with its small ties sorted by the ranks of the cover, all pairs of a tie at once.
-
-    Ties of two stay as they are: what is asked is whether neighbours are equal.
+class CoverRanks:
+    """Ranks of the cover's places by at least their next ``depth`` bytes; nothing is kept for others."""
+
+    def __init__(self, text: Text, depth: int):
+        places = np.add.outer(np.arange(0, text.n + PERIOD, PERIOD), COVER).ravel()
+        levels = [text.key(places + d) for d in (0, 8, 16, PERIOD - 8)]
+        by = np.lexsort(levels[::-1])
+        new = np.zeros(len(by), bool)
+        for level in levels:
+            level = level[by]
+            new[1:] |= level[1:] != level[:-1]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new) + 1
+        known = PERIOD
+        while known < depth:
+            # a place this much further on is in the cover as well
+            step = known // PERIOD * len(COVER)
+            ahead = np.zeros_like(rank)
+            ahead[: max(0, len(rank) - step)] = rank[step:]
+            rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1] + 1
+            known *= 2
+        self.rank = rank.astype(np.int32)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return self.rank[places // PERIOD * len(COVER) + SLOT[places % PERIOD]].astype(np.int64)
+
+
+def mixed_ties(order: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which suffixes are in a tie whose places have several residues."""
+    if not len(order):
+        return np.zeros(0, bool)
+    at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    residue = order % PERIOD
+    return np.repeat(np.minimum.reduceat(residue, at) != np.maximum.reduceat(residue, at), np.diff(np.r_[at, len(order)]))
+
+
+def refined(order: np.ndarray, node: np.ndarray, text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of several residues, sorted further by bytes 32 to 64, which parts most of them by residue."""
+    for d in range(32, 64, 8):
+        open_ = np.flatnonzero(mixed_ties(order, node))
+        if not len(open_):
+            break
+        key = text.key(order[open_] + d)
+        by = np.lexsort((key, node[open_]))
+        order = order.copy()
+        order[open_], key = order[open_][by], key[by]
+        more = np.zeros(len(order), bool)
+        more[open_[1:]] = (node[open_[1:]] == node[open_[:-1]]) & (key[1:] != key[:-1])
+        node = node + np.cumsum(more)
+    return order, node
+
+
+def tied_by_cover(order: np.ndarray, node: np.ndarray, ranks: CoverRanks) -> np.ndarray:
+    """``order`` with its ties ``node`` sorted by the ranks of the cover.
+
+    A tie whose places have one residue is sorted by its ranks at their one distance
+    into the cover. In others the smaller ones of the tie are counted for each
+    suffix: in small ties pair by pair; in large ones for two residues at a time,
+    which share one distance, by sorting and searching.
     """
     size = np.bincount(node)
-    few = np.flatnonzero((size[node] > 2) & (size[node] <= FEW))
-    if not len(few):
+    tied = np.flatnonzero(size[node] > 1)
+    if not len(tied):
         return order
-    at = np.flatnonzero(np.r_[True, node[few][1:] != node[few][:-1]])
-    count = np.diff(np.r_[at, len(few)])
-    mine = np.repeat(np.arange(len(few)), np.repeat(count, count))
-    other = np.arange(len(mine)) - np.repeat(np.cumsum(np.r_[0, np.repeat(count, count)[:-1]]), np.repeat(count, count)) + np.repeat(np.repeat(at, count), np.repeat(count, count))
-    x, y = order[few[mine]], order[few[other]]
-    d = SHIFTS[x % PERIOD, y % PERIOD]
-    p, q = ranks[x + d], ranks[y + d]
-    smaller = (q < p) | (q == p) & (other < mine)
-    place = np.bincount(mine, weights=smaller, minlength=len(few)).astype(np.int64)
+    m, x = node[tied], order[tied]
+    at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    count = np.diff(np.r_[at, len(tied)])
+    residue = x % PERIOD
+    alike = ~mixed_ties(x, m)
+    by = np.zeros(len(tied), np.int64)
+    one = x[alike]
+    by[alike] = ranks.of(one + SHIFTS[residue[alike], residue[alike]])
+    count = np.repeat(count, count)
+    few = np.flatnonzero(~alike & (count <= FEW))
+    if len(few):
+        at = np.flatnonzero(np.r_[True, m[few][1:] != m[few][:-1]])
+        each, first = count[few], np.repeat(at, count[few][at])
+        mine = np.repeat(np.arange(len(few)), each)
+        other = _inner(each) + np.repeat(first, each)
+        p, q = x[few[mine]], x[few[other]]
+        d = SHIFTS[p % PERIOD, q % PERIOD]
+        by[few] = np.bincount(mine, weights=ranks.of(q + d) < ranks.of(p + d), minlength=len(few))
+    many = np.flatnonzero(~alike & (count > FEW))
+    if len(many):
+        p, base = x[many], m[many] * (int(ranks.rank.max()) + 2)
+        parts = [(r, np.flatnonzero(residue[many] == r)) for r in np.unique(residue[many]).tolist()]
+        found = np.zeros(len(many), np.int64)
+        for a, i in parts:
+            for b, j in parts:
+                d = SHIFTS[a, b]
+                there = np.sort(base[j] + ranks.of(p[j] + d))
+                found[i] += np.searchsorted(there, base[i] + ranks.of(p[i] + d)) - np.searchsorted(there, base[i])
+        by[many] = found
     out = order.copy()
-    out[few[np.repeat(at, count) + place]] = order[few]
+    out[tied] = x[np.lexsort((by, m))]
     return out
 
 
 def window_classes(raw: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array over ``starts``, and along it the number of each window's class.
+    """The suffix array over ``starts`` as an order of them, and along it the number of each window's class.
 
-    Windows of one class have the same ``length`` bytes.
+    Windows of one class have the same ``length`` bytes; they are neighbours, as
+    the ranks reach at least that far.
     """
     text = Text(raw, length)
-    ranks = cover_ranks(text)
-    first = text.key(starts)
-    by = np.argsort(first, kind="stable")
-    starts, first = starts[by], first[by]
-    done, classes, number, at = [], [], 0, 0
-    while at < len(starts):
-        end = min(at + BLOCK_SUFFIXES, len(starts))
-        while end < len(starts) and first[end] == first[end - 1]:
+    ranks = CoverRanks(text, length)
+    places = starts[np.argsort(text.key(starts), kind="stable")]
+    first = text.key(places)
+    done, classes, number, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(places):
+        end = min(at + BLOCK_SUFFIXES, len(places))
+        while end < len(places) and first[end] == first[end - 1]:
             end += 1
-        order = starts[at:end]
-        levels = [text.key(order + d) for d in range(8, PERIOD, 8)]
-        by = np.lexsort((*levels[::-1], first[at:end]))
-        order = order[by]
-        new = first[at + 1 : end] != first[at : end - 1]
+        block = places[at:end]
+        levels = [first[at:end], *(text.key(block + d) for d in (8, 16, 24))]
+        by = np.lexsort(levels[::-1])
+        new = np.zeros(len(by), bool)
         for level in levels:
             level = level[by]
-            new |= level[1:] != level[:-1]
-        node = np.cumsum(np.r_[0, new])
-        size = np.bincount(node)
-        order = tied_by_cover(order, node, ranks)
-        large = size[node] > FEW
-        if large.any():
-            o, m = order[large], node[large]
-            for d in range(32, length, 8):
-                o, m = refine(o, m, lambda x, d=d: text.key(x + d) if d + 8 <= length else text.key(x + d) >> U(8 * (d + 8 - length)))
-            order[large] = o
-        # neighbours of one tie share what was compared; their common prefix may still be short of the window
+            new[1:] |= level[1:] != level[:-1]
+        block, node = refined(block[by], np.cumsum(new), text)
+        block = tied_by_cover(block, node, ranks)
+        # neighbours of one tie share 32 bytes; their common prefix may still be short of the window
         near = np.flatnonzero(node[1:] == node[:-1])
-        same = np.ones(len(near), bool)
         for d in range(32, length, 8):
-            a, b = text.key(order[near[same]] + d), text.key(order[near[same] + 1] + d)
+            a, b = text.key(block[near] + d), text.key(block[near + 1] + d)
             if d + 8 > length:
                 a, b = a >> U(8 * (d + 8 - length)), b >> U(8 * (d + 8 - length))
-            same[np.flatnonzero(same)[a != b]] = False
-        new = np.ones(len(order), bool)
-        new[near[same] + 1] = False
-        c = np.cumsum(new) + number
-        number = int(c[-1])
-        done.append(order)
-        classes.append(c)
+            near = near[a == b]
+        new = np.ones(len(block), bool)
+        new[near + 1] = False
+        classes.append(np.cumsum(new) + number)
+        number = int(classes[-1][-1])
+        done.append(block)
         at = end
-    return np.concatenate([np.zeros(0, np.int64), *done]), np.concatenate([np.zeros(0, np.int64), *classes])
-
-
-def byte_chunk(kind: Kind, texts: list[str]) -> Chunk:
-    raw = [t.encode() for t in texts]
-    buffer = b"".join(raw)
-    values = np.frombuffer(buffer, np.uint8)
-    return Chunk(kind, BYTE_VALUES[values], lambda: BYTE_VALUES_2[values], np.array([len(r) for r in raw], np.int64), buffer, None, None)
-
-
-def send_stretches(chunk: Chunk, starts: np.ndarray, anchors: np.ndarray, ids, keys, plan, groups: int):
-    """Stretches of windows with one anchor, grouped by it."""
-    if not len(starts):
-        return
-    doc = chunk.doc[starts]
-    at = run_starts(starts, anchors, doc)
-    count = np.diff(np.r_[at, len(starts)])
-    begin, doc = starts[at], doc[at]
-    group = (mixed(anchors[at] + U(2)) % U(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True])
-    buffer, tail = chunk.buffer, chunk.kind.length - 1
-    for x, y in zip(cut, cut[1:]):
-        o = order[x:y]
-        text = b"".join([buffer[i : i + n + tail] for i, n in zip(begin[o].tolist(), count[o].tolist())])
-        yield int(group[o[0]]), (ids[doc[o]], keys[doc[o]].astype(np.uint32), begin[o] - chunk.offsets[doc[o]], count[o].astype(np.int32), text), len(text)
-
-
-def meet_stretches(kind: Kind, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, keys, begins, counts = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-    raw = b"".join(p[4] for p in parts)
-    sizes = counts + kind.length - 1
-    base = np.cumsum(np.r_[0, sizes[:-1]])
-    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(np.r_[0, counts[:-1]]), counts)
-    starts = np.repeat(base, counts) + inner
-    order, node = window_classes(raw, starts, kind.length)
-    own = np.searchsorted(base, order, side="right") - 1
-    doc, place = ids[own], begins[own] + order - base[own]
-    by = np.lexsort((place, doc, node))
-    node, doc, place, own = node[by], doc[by], place[by], own[by]
-    head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
-    lead = np.repeat(head, np.diff(np.r_[head, len(node)]))
-    gone = (doc > doc[lead]) | (doc == doc[lead]) & (place > place[lead])
-    return doc[gone], keys[own[gone]], place[gone]
+    index = np.zeros(text.n + 1, np.int32)
+    index[starts] = np.arange(len(starts))
+    return index[np.concatenate(done)].astype(np.int64), np.concatenate(classes)
+
+
+def byte_pieces(raw: bytes, length: int):
+    """``(place, bytes)``; pieces share ``length - 1`` bytes."""
+    for at in range(0, max(1, len(raw) - length + 1), CHUNK_BYTES):
+        yield at, raw[at : at + CHUNK_BYTES + length - 1]
+
+
+def byte_units(buffer: bytes) -> tuple:
+    return BYTE_VALUES[np.frombuffer(buffer, np.uint8)], None, None
+
+
+def anchor_of(chunk: Chunk, begins: np.ndarray, anchors: np.ndarray, plan) -> np.ndarray:
+    return anchors
 
 
 def cut_bytes(text: str | None, starts: np.ndarray, ends: np.ndarray) -> tuple:
     raw = (text or "").encode()
-    if not len(starts):
-        return len(raw), 0, 0, raw
-    gone = united(starts, ends, len(raw))
-    return len(raw), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1)), np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    kept, at = [], 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        kept.append(raw[at:a])
+        at = b
+    kept = b"".join([*kept, raw[at:]])
+    return len(raw), len(raw) - len(kept), len(starts), kept
 
 
 def strings(length: int = WINDOW_BYTES, gram: int = ANCHOR_BYTES) -> Kind:
     if length < 40:
         raise ValueError("windows must be at least 40 bytes")
-    return Kind(length, gram, byte_chunk, send_stretches, meet_stretches, later=True, groups_each=4, remember=False)
+    return Kind(length, gram, byte_pieces, byte_units, b"", anchor_of, lambda buffer, units, starts: window_classes(buffer, starts, length), later=True, align=PERIOD)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = WINDOW_BYTES) -> DataFrame:
@@ -234,7 +238,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = WINDOW_BYTES) -> DataFr
     same one. ``kept`` is the rest as binary, as a cut may divide a character.
     Null texts are empty; a row without id keeps all and takes nothing from
     others; of rows with one id the earlier start counts. Columns with the names
-    made here are refused.
+    made here are replaced.
     """
     return remove_repeats(docs, strings(length), cut_bytes, "n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -243,3 +247,23 @@ def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated 100-byte strings of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# long texts are cut into parts of 1000 bytes first, as a substring costs what is in front of it
+OP9_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, k, substring(h, 2 * k + 1, 2 * 1099) as h from (select doc_id, h, unnest(range(0, cast(length(h) // 2 as bigint), 1000)) as k from d)),
+w as (select doc_id, k + i as i, md5_number(substring(h, 2 * i + 1, 200)) as t
+      from (select doc_id, k, h, unnest(range(0, least(1000, cast(length(h) // 2 as bigint) - 99))) as i from c where length(h) >= 200)),
+f as (select t, min(struct_pack(doc_id := doc_id, i := i)) as first from w group by t having count(*) > 1),
+g as (select w.doc_id, w.i from w join f using (t) where f.first.doc_id < w.doc_id or f.first.i < w.i),
+k as (select distinct doc_id, unnest(range(i, i + 100)) as i from g),
+s as (select doc_id, count(*) as n_removed, count(*) filter (p is null or p <> i - 1) as n_spans
+      from (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from k) group by doc_id),
+u as (select doc_id, k + i as i, substring(h, 2 * i + 1, 2) as b
+      from (select c.doc_id, c.k, c.h, unnest(range(0, least(1000, cast(length(h) // 2 as bigint)))) as i from c semi join k on c.doc_id = k.doc_id)),
+r as (select u.doc_id, string_agg(b, '' order by u.i) as h from u anti join k on k.doc_id = u.doc_id and k.i = u.i group by u.doc_id)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, coalesce(s.n_removed, 0) as n_removed, coalesce(s.n_spans, 0) as n_spans,
+  sha256(unhex(case when s.doc_id is null then d.h else coalesce(r.h, '') end)) as kept_sha256
+from d left join s using (doc_id) left join r using (doc_id)
+"""
