@@ -38,6 +38,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         rounds += 1
         rest = edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = scratch.keep(rest, f"{name}-edges-{rounds}")
+    # the rounds' tables but for the last pointers and edges
+    scratch.drop(*(f"{name}-to-{r}-{jump}" for r in range(rounds) for jump in (0, 1)), *(f"{name}-edges-{r}" for r in range(rounds)), *(f"{name}-all-{r}" for r in range(rounds - 1)))
     if pointers is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return pointers.select("id", F.col("to").alias("component"))

@@ -7,11 +7,14 @@ its similarity reaches the threshold falls below ``miss``. Survivors are verifie
 exactly on their full sets.
 
 No bucket is expanded into all its pairs. Every class is first paired with two of
-the smallest classes of its buckets, and the links so confirmed give components. Only buckets
-whose members then lie in different components are looked at again: members that
-aren't in the component of the smallest one meet all members of other components,
-block by block. So no candidate link between components is lost, and a crowd of
-copies costs a row each.
+the smallest classes of its buckets, and the links so confirmed give components. Only
+buckets whose members then lie in different components are looked at again, once
+for all buckets with the same members: members that aren't in the component of the
+smallest one meet all members of other components, block by block. A block first
+tells by the signatures which members have a surviving candidate at all; only
+those bring their sets, and the block verifies them and gives a row for each two
+components it unites. So no candidate link between components is lost, and the
+tables have a row a member and block, not a row a pair.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_bounded, releasing, table
 from .components import components
-from .fragments import U, mixed
+from .fragments import CHUNK_BYTES, U, _inner, mixed
+from .substrings import WHITE
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, numerator and denominator.
@@ -36,28 +41,37 @@ BANDS, ROWS = 50, 6
 #: Signature places that are compared in a batch, and the chance of a wrong drop in any of them.
 BATCH = 50
 MISS = 1e-6
-#: Members of one block when a bucket is looked at again.
-BLOCK = 256
+#: Members of one side of a block when a bucket is looked at again; the other side has four times as many.
+BLOCK = 512
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashed shingles of a text, ascending; with fewer words the whole sequence is one."""
-    w = (text or "").encode().translate(LOWER).split()
-    if not w:
-        return np.zeros(0, U)
-    n = max(1, len(w) - words + 1)
-    h = np.array([word_hash(x) for x in w], U)
-    out = np.zeros(n, U)
-    for k in range(min(words, len(w))):
-        out = mixed(out * U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+def word_lists(raw: bytes, words: int):
+    """The words of a text, in parts that share ``words - 1`` of them."""
+    at, carry = 0, []
+    while at < len(raw):
+        white = WHITE.search(raw, at + CHUNK_BYTES)
+        end = white.start() if white else len(raw)
+        found = raw[at:end].split()
+        if found:
+            yield carry + found
+            carry = (carry + found)[-(words - 1) :] if words > 1 else []
+        at = end
 
 
-@lru_cache(maxsize=1 << 18)
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashed shingles of a text, ascending; with fewer words the whole sequence is one."""
+    parts = []
+    for w in word_lists((text or "").encode().translate(LOWER), words):
+        h = pd.util.hash_array(np.array(w, object), categorize=False)
+        if len(w) < words and parts:
+            continue
+        out = np.zeros(max(1, len(w) - words + 1), U)
+        for k in range(min(words, len(w))):
+            out = mixed(out * U(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+        parts.append(out)
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
 
 
 @lru_cache(maxsize=2)
@@ -160,16 +174,20 @@ def sequential(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
     return pairs.mapInArrow(releasing(kept), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, set)`` of the documents ``ids``; a set is its sorted shingles' bytes."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in b.column(1)], pa.binary())], names=["doc_id", "set"])
 
     texts = docs.select("doc_id", "text").join(broadcast_if_bounded(ids), "doc_id", "left_semi")
-    own = texts.mapInArrow(releasing(sets), "doc_id long, set binary")
+    return texts.mapInArrow(releasing(sets), "doc_id long, set binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
+    own = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), words)
     up, down = similarity
 
     def confirmed(batches):
@@ -185,31 +203,78 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
     return pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t").mapInArrow(releasing(confirmed), "a long, b long")
 
 
-def crossing_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, miss: float, block: int) -> DataFrame:
-    """Surviving candidate pairs between components, from the buckets that still hold several."""
+def met_blocks(buckets: DataFrame, classes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """``(band, k, m, stray, rep, component, signature)``: the blocks of the buckets that still hold several components.
+
+    ``k`` numbers parts of a bucket's strays, the members outside the component of
+    its smallest one, and ``m`` parts of all its members. Of buckets with the same
+    members one is taken.
+    """
     labelled = buckets.join(labels, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_up = labelled.groupBy("band").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "main")
-    members = labelled.join(mixed_up, "band")
+    told = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in (1, 2)]
+    mixed_up = labelled.groupBy("band").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *told).where("x <> y")
+    mixed_up = mixed_up.groupBy("n", "x", "y", "h1", "h2").agg(F.min("band").alias("band"), F.min_by("main", "band").alias("main"))
+    members = labelled.join(mixed_up.select("band", "main", "n"), "band")
     strays = members.where("component <> main").groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("slices")).join(strays, "band")
-    members = members.join(sizes, "band").join(classes.select(F.col("doc_id").alias("rep"), "signature"), "rep")
+    members = members.join(strays, "band").withColumn("slices", F.ceil(F.col("n") / (4 * block)).cast("int"))
     as_stray = members.where("component <> main").withColumn("k", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     as_all = members.withColumn("m", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("slices")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["band", "k", "m", "rep", "component", "signature"]
+    cols = ["band", "k", "m", "rep", "component"]
     met = as_stray.select(*cols, F.lit(True).alias("stray")).unionAll(as_all.select(*cols, F.lit(False)))
+    return met.join(classes.select(F.col("doc_id").alias("rep"), "signature"), "rep").select("band", "k", "m", "stray", "rep", "component", "signature")
+
 
-    def compared(t: pa.Table) -> pa.Table:
-        stray = t["stray"].to_numpy()
-        rep, comp, sig = t["rep"].to_numpy(), t["component"].to_numpy(), _bytes_matrix(t["signature"])
-        rows, a, b = np.flatnonzero(~stray), [], []
+BLOCK_ROW = "band long, k int, m int, stray boolean, rep long, component long, signature binary"
+
+
+def surviving_members(met: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The members of each block that are left a candidate in it, as a stray or as any member."""
+
+    def alive(t: pa.Table) -> pa.Table:
+        stray, comp, sig = t["stray"].to_numpy(), t["component"].to_numpy(), _bytes_matrix(t["signature"])
+        rows, keep = np.flatnonzero(~stray), np.zeros(len(stray), bool)
         for i in np.flatnonzero(stray).tolist():
             other = rows[comp[rows] != comp[i]]
             other = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], threshold, miss)]
-            a.append(np.minimum(rep[i], rep[other]))
-            b.append(np.maximum(rep[i], rep[other]))
-        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
+            keep[other] = True
+            keep[i] = len(other) > 0
+        return t.filter(pa.array(keep))
+
+    return met.groupBy("band", "k", "m").applyInArrow(alive, BLOCK_ROW)
+
+
+def uniting_links(alive: DataFrame, sets: DataFrame, similarity: tuple[int, int], miss: float) -> DataFrame:
+    """Links ``(a, b)`` verified inside the blocks, one for each two components that a block unites."""
+    up, down = similarity
 
-    return met.groupBy("band", "k", "m").applyInArrow(compared, "a long, b long").distinct()
+    def confirmed(t: pa.Table) -> pa.Table:
+        stray, rep, comp, sig = t["stray"].to_numpy(), t["rep"].to_numpy(), t["component"].to_numpy().copy(), _bytes_matrix(t["signature"])
+        sets = [np.frombuffer(x.as_buffer(), U) for x in t["set"]]
+        size = np.array(list(map(len, sets)), np.int64)
+        at = np.cumsum(np.r_[0, size])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        marked, rows, a, b = np.zeros(int(ids.max()) + 1, np.int32), np.flatnonzero(~stray), [], []
+        del sets
+        for i in np.flatnonzero(stray).tolist():
+            other = rows[comp[rows] != comp[i]]
+            other = other[down * np.minimum(size[other], size[i]) >= up * np.maximum(size[other], size[i])]
+            other = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], up / down, miss)]
+            if not len(other):
+                continue
+            own = ids[at[i] : at[i + 1]]
+            marked[own] = 1
+            begins = np.cumsum(np.r_[0, size[other][:-1]])
+            shared = np.add.reduceat(marked[ids[np.repeat(at[other], size[other]) + _inner(size[other])]], begins)
+            marked[own] = 0
+            hits = other[down * shared >= up * (size[i] + size[other] - shared)]
+            found, first = np.unique(comp[hits], return_index=True)
+            a += [rep[i]] * len(found)
+            b += rep[hits[first]].tolist()
+            comp[np.isin(comp, found)] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = alive.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return joined.groupBy("band", "k", "m").applyInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, miss: float = MISS, block: int = BLOCK, seed: int = 29) -> DataFrame:
@@ -239,10 +304,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORD
     pairs = scratch.keep(sequential(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), threshold, miss), "pairs")
     links = scratch.keep(verified(pairs, docs, words, similarity), "links")
     labels = scratch.keep(components(links, scratch, "near").withColumnRenamed("id", "rep"), "labels")
-    crossing = scratch.keep(crossing_pairs(buckets.select("band", "rep"), classes, labels, threshold, miss, block).join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        more = scratch.keep(verified(crossing, docs, words, similarity), "more")
+    alive = scratch.keep(surviving_members(met_blocks(buckets.select("band", "rep"), classes, labels, block), threshold, miss), "alive")
+    if not alive.isEmpty():
+        sets = shingle_sets(docs, alive.select(F.col("rep").alias("doc_id")).distinct(), words)
+        more = scratch.keep(uniting_links(alive, sets.dropDuplicates(["doc_id", "set"]), similarity, miss), "more")
         labels = scratch.keep(components(links.unionAll(more), scratch, "all").withColumnRenamed("id", "rep"), "labels-2")
+    scratch.drop("classes", "buckets", "pairs", "links", "alive", "more")
     found = reps.join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -252,3 +319,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = SHINGLE_WORD
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents`` by two-word shingles at 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), words=2)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP5_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, hash(case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end) as t
+      from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.c),
+m as (select doc_id, min(c) as c from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.c = d.doc_id as kept
+from d join m using (doc_id) left join n using (doc_id)
+"""
