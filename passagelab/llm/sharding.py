@@ -12,13 +12,17 @@ import random
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_bounded
+from .common import Scratch, broadcast_if_bounded, replacing
 
 #: Bytes of text that one bucket holds on average.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+#: Tasks of pass two at most; beyond, a task takes several buckets, one after another.
+MAX_TASKS = 100_000
+#: Buckets whose starts are summed up together.
+GROUP_BUCKETS = 4096
 
 
 def fisher_yates(n: int, seed: str) -> list[int]:
@@ -37,11 +41,9 @@ def two_pass_shuffle(df: DataFrame, scratch: Scratch, text: str = "text", seed:
     content, so repeated rows, even a third of the table, scatter like all others.
     The order is a function of the seed and of how the input is laid out. Null
     texts count as empty; an empty table stays empty; columns of ``df`` that are
-    named like the ones made here are refused.
+    named like the ones made here (``_position`` and others that begin so) are replaced.
     """
-    clash = {"_bucket", "_order", "_place", "_position"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns with reserved names: {sorted(clash)}")
+    df = replacing(df, "_bucket", "_order", "_place", "_position", "_start")
     total = df.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 64)).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
     keyed = df.withColumn("_order", F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), F.col(text)))
@@ -54,14 +56,15 @@ def two_pass_shuffle(df: DataFrame, scratch: Scratch, text: str = "text", seed:
         return t.append_column("_place", pa.array(range(t.num_rows), pa.int64()))
 
     schema = keyed.withColumn("_place", F.lit(0).cast("long")).schema
-    written = scratch.keep(keyed.groupBy("_bucket").applyInArrow(shuffled, schema), "buckets")
-    sizes = written.groupBy("_bucket").agg(F.count("*").alias("rows"))
-    # one row per bucket of many MB: a few hundred bytes of plan for each TB of text
-    starts, at = [], 0
-    for bucket, rows in sorted(sizes.collect()):
-        starts.append((bucket, at))
-        at += rows
-    starts = df.sparkSession.createDataFrame(starts, "_bucket int, _start long")
+    dealt = keyed.repartition(min(n, MAX_TASKS), "_bucket")
+    written = scratch.keep(dealt.groupBy("_bucket").applyInArrow(shuffled, schema), "buckets")
+    # rows before each bucket, in two steps: before its group of buckets, and before it in there
+    sizes = written.groupBy("_bucket").agg(F.count("*").alias("rows")).withColumn("_group", F.expr(f"_bucket div {GROUP_BUCKETS}"))
+    groups = sizes.groupBy("_group").agg(F.sum("rows").alias("rows"))
+    groups = groups.select("_group", F.coalesce(F.sum("rows").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("rows").over(Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_inside", inside).join(groups, "_group").select("_bucket", (F.col("_base") + F.col("_inside")).alias("_start"))
+    starts = scratch.keep(starts, "starts")
     placed = written.join(broadcast_if_bounded(starts), "_bucket")
     return placed.withColumn("_position", F.col("_start") + F.col("_place")).drop("_bucket", "_order", "_place", "_start")
 
@@ -69,10 +72,10 @@ def two_pass_shuffle(df: DataFrame, scratch: Scratch, text: str = "text", seed:
 def shard(df: DataFrame, scratch: Scratch, shards: int = 8, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every row of ``df`` with its ``shard`` and its ``slot`` there, gapless from 0.
 
-    The law is ``rows``: shard sizes differ by one row at most.
+    The law is ``rows``: shard sizes differ by one row at most. Columns of ``df``
+    named ``shard`` or ``slot`` are replaced.
     """
-    if {"shard", "slot"} & set(df.columns):
-        raise ValueError("columns with reserved names: shard, slot")
+    df = replacing(df, "shard", "slot")
     placed = two_pass_shuffle(df, scratch, text, seed, bucket_bytes)
     return placed.withColumns({"shard": F.pmod("_position", F.lit(shards)).cast("int"), "slot": F.expr(f"_position div {shards}")}).drop("_position")
 

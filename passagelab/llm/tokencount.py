@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches, replacing
+
 #: Documents whose pre-tokens fill the first tier. It only decides which lengths
 #: are looked up instead of computed, never a count.
 FIT_DOCS = 512
@@ -26,7 +28,7 @@ CACHE_ENTRIES = 1 << 20
 #: Characters of text that are split at once.
 CHUNK_CHARS = 1 << 20
 
-#: Texts of these characters only are split here; others by the library.
+#: Texts of these characters only are split here; others by the library's own normalizer and splitter.
 PLAIN = re.compile("[\t-\r -~ -±´-¸º»¿-ɏ]*")
 #: The split pattern of the vocabulary file, for plain texts in lower case.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -48,6 +50,8 @@ class Lengths(dict):
         self.library.no_truncation()
         shape = self.library.to_str()
         self.splits = repr(SPLIT_REGEX)[1:-1] in shape or SPLIT_REGEX.replace("\\", "\\\\") in shape
+        # other characters: the library normalizes and splits, the lengths are looked up
+        self.pieces = self.library.normalizer is not None and self.library.pre_tokenizer is not None
         self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
 
     def whole(self, text: str) -> int:
@@ -72,16 +76,36 @@ class Lengths(dict):
             if len(ts) != 1 or ts[0] != w:
                 self[w] = sum(map(self.__getitem__, ts))
 
+    def words(self, text: str) -> list[str] | None:
+        """What a text's count is a sum over; None if the library must count it whole."""
+        if not self.splits or any(t in text for t in self.added):
+            return None
+        if PLAIN.fullmatch(text):
+            return text.lower().split()
+        if not self.pieces:
+            return None
+        plain = self.library.normalizer.normalize_str(text)
+        return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Enter the lengths of pre-tokens that the library split off."""
+        missing = [p for p in pieces if p not in self]
+        for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
+            self[p] = len(e)
+
     def count(self, texts: list[str | None]) -> list[int]:
-        counts, split = [0] * len(texts), []
+        counts, split, plain, pieces = [0] * len(texts), [], set(), set()
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.splits or not PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            words = self.words(text)
+            if words is None:
                 counts[i] = self.whole(text)
             else:
-                split.append((i, text.lower().split()))
-        self.learn(set().union(*(words for _, words in split)))
+                split.append((i, words))
+                (plain if PLAIN.fullmatch(text) else pieces).update(words)
+        self.learn(plain)
+        self.learn_pieces(pieces)
         for i, words in split:
             counts[i] = sum(map(self.__getitem__, words))
         return counts
@@ -119,10 +143,10 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", fit_docs: int =
     No tokens are added at the ends; special strings inside a text count as the
     library counts them by default; nothing is padded or cut. Null texts have no
     tokens. Long texts are counted whole. All columns are kept; one that is named
-    like ``out`` is refused.
+    like ``out`` is replaced.
     """
-    if out in docs.columns:
-        raise ValueError(f"column with reserved name: {out}")
+    bound_batches(docs.sparkSession)
+    docs = replacing(docs, out)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text, fit_docs, entries))
     at = docs.columns.index(text)
 

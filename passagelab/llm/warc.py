@@ -31,6 +31,8 @@ from .common import Scratch, bounded, broadcast_if_bounded, table
 MIN_SHARED_BYTES = 100
 #: Bytes after which a writer begins its next archive.
 ARCHIVE_BYTES = 256 << 20
+#: Compressed bytes of records that are read at once.
+READ_BYTES = 2 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 1000
 #: Rows that are broadcast at most: of the revisits, and of the directory in one round of lookups.
@@ -187,6 +189,19 @@ def _records(fields: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(fields, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
 
 
+def by_bytes(lines: list[list]):
+    """Captures in parts of at most 100 records, or of few bytes."""
+    part, size = [], 0
+    for x in lines:
+        if part and (len(part) == 100 or size + x[3] > READ_BYTES):
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += x[3]
+    if part:
+        yield part
+
+
 def read_archives(directory: DataFrame, scratch: Scratch, name: str = "archives", index: str = "index") -> DataFrame:
     """All records, block by block of the index; a block's records are read in file order."""
     base, index_base = scratch.path(name), scratch.path(index)
@@ -196,8 +211,8 @@ def read_archives(directory: DataFrame, scratch: Scratch, name: str = "archives"
         for b in batches:
             for r in b.to_pylist():
                 lines = sorted(block_lines(blocks, r["file"], r["offset"], r["length"]), key=lambda x: x[1:4])
-                for i in range(0, len(lines), 100):
-                    yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in lines[i : i + 100]])
+                for part in by_bytes(lines):
+                    yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in part])
 
     # a number of its own, as a block is a short row that stands for many records
     n = max(1, min(directory.count(), 4 * int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -255,8 +270,8 @@ def lookup(urls: DataFrame, directory: DataFrame, scratch: Scratch, name: str =
 
         def records():
             lines = sorted((x for x in block_lines(blocks, *block) if x[0] in keys), key=lambda x: x[1:4])
-            for i in range(0, len(lines), 100):
-                yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in lines[i : i + 100]])
+            for part in by_bytes(lines):
+                yield _records([parsed(gzip.decompress(archives.range(*x[1:4]))) for x in part])
 
         for b in batches:
             for key, *at in zip(*(c.to_pylist() for c in b.columns)):
