@@ -4,9 +4,9 @@ A text's features are its distinct words and their beginnings, hashed. The model
 is a sparse logistic regression fitted on a bounded sample of labelled rows. Its
 weights are evidence and never negative, so harmless words, however many, can't
 outweigh it. Where a
-labelled sentence mentions a group, a copy is made with the identity term swapped
-for another of its set, and the squared change of the score is a penalty of the
-fit: mentioning a group must not move the score, whatever the labels suggest.
+labelled sentence mentions a group, a copy of it is made with the identity terms
+swapped for others of their sets, and the squared change of the score between the
+two is a penalty of the fit: mentioning a group must not move the score, whatever the labels suggest.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_bounded, releasing, table
+from .common import broadcast_if_bounded, releasing, replacing, table
 
 #: Labelled rows of each class that the fit takes at most, drawn by a hash of the id.
 FIT_ROWS = 4000
@@ -37,7 +37,7 @@ EPOCHS = 30
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
 #: Entries of each worker's cache of words.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 17
 
 #: Sets of exchangeable identity terms, in English, German, French and Spanish.
 IDENTITY_TERMS = (
@@ -90,17 +90,34 @@ def words_of(text: str) -> list[str]:
     return [w for chunk in set(text.lower().split()) for w in WORD.findall(chunk)]
 
 
-def swaps(text: str, terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """The identity terms of a text, each with the term of its set that replaces it."""
+def swapped(text: str, terms=IDENTITY_TERMS) -> list[str] | None:
+    """The words of a labelled sentence with each identity term replaced by another of its set; None without terms."""
     other = {t: s for s in terms for t in s}
-    found = [w for w in dict.fromkeys(words_of(text)) if w in other]
+    words = words_of(text)
+    if not any(w in other for w in words):
+        return None
     rng = random.Random(len(text))
-    return [(w, rng.choice([t for t in other[w] if t != w])) for w in sorted(found)]
+    exchange = {w: rng.choice([t for t in other[w] if t != w]) for w in sorted({w for w in words if w in other})}
+    return [exchange.get(w, w) for w in words]
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]], prior: float, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias for samples given by their feature ids.
+def feature_ids(words: list[str]) -> np.ndarray:
+    return np.array(sorted(i for w in words for i in features(w)), np.int32)
 
+
+def change(sample: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features by which a sentence and its swapped copy differ, and by how much."""
+    ids, back = np.unique(np.concatenate([sample, copy]), return_inverse=True)
+    value = np.bincount(back, weights=np.r_[np.ones(len(sample)), -np.ones(len(copy))], minlength=len(ids))
+    return ids[value != 0], value[value != 0]
+
+
+def fit(samples: list[np.ndarray], labels: np.ndarray, copies: list[np.ndarray | None], prior: float, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias for samples given by their feature ids, and for those with identity terms their swapped copies.
+
+    After every pass over the samples the score of each sentence and that of its
+    copy are drawn together: the step that minimises half the squared change times
+    the penalty plus half the squared move of the weights.
     The sample holds both classes in other shares than the table, so the bias is
     moved to the table's share ``prior``. Without samples of both classes the
     score is the share of toxic labels (0 without labels).
@@ -111,11 +128,12 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, st
         return w, 30.0 * (2 * share - 1)
     rng = np.random.default_rng(seed)
     seen, seen_bias = np.full(1 << BITS, 1e-3), 1e-3
-    differences = []
-    for a, b in pairs:
-        ids, signs = np.unique(np.array(features(a) + features(b)), return_inverse=True)
-        value = np.bincount(signs, weights=[1.0] * len(features(a)) + [-1.0] * len(features(b)))
-        differences.append((ids, value))
+    differences = {}
+    for sample, copy in zip(samples, copies):
+        if copy is not None:
+            ids, value = change(sample, copy)
+            key = ids.tobytes() + value.tobytes()
+            differences[key] = (ids, value, differences.get(key, (0, 0, 0))[2] + 1)
     for _ in range(EPOCHS):
         order = rng.permutation(len(samples))
         for at in range(0, len(order), 64):
@@ -131,9 +149,9 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, st
             w[touched] = np.maximum(0, w[touched] - 0.1 * g / np.sqrt(seen[touched]))
             seen_bias += off.sum() ** 2
             bias -= 0.1 * off.sum() / np.sqrt(seen_bias)
-        for ids, value in differences:
-            # the exact step that shrinks the change of the score under this swap
-            w[ids] = np.maximum(0, w[ids] - value * (w[ids] @ value) * SWAP_PENALTY / (1 + SWAP_PENALTY * (value @ value)))
+        for ids, value, times in differences.values():
+            penalty = SWAP_PENALTY * times
+            w[ids] = np.maximum(0, w[ids] - value * (w[ids] @ value) * penalty / (1 + penalty * (value @ value)))
     share = labels.mean()
     return w, bias + np.log(prior / (1 - prior)) - np.log(share / (1 - share))
 
@@ -161,11 +179,12 @@ def is_held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, terms=IDENTITY_TERMS) -> tuple[np.ndarray, float]:
     """Fit on the labelled rows of ``docs`` that aren't held out.
 
     Of each class the ``fit_rows`` labels that come first by a hash of the id are
-    taken. Null labels and null ids are left out.
+    taken. Null labels and null ids are left out. ``terms`` are sets of exchangeable
+    identity terms in lower case; without any the fit has no swapped copies.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = dict(usable.groupBy("toxic").count().collect())
@@ -177,29 +196,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
 
     def seen(batches):
         for b in batches:
-            ids, terms = [], []
+            ids, copies = [], []
             for t in b.column(0).to_pylist():
-                ids.append(np.array(sorted(i for w in words_of(t or "") for i in features(w)), np.int32).tobytes())
-                terms.append([f"{x} {y}" for x, y in swaps(t or "")])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(terms, pa.list_(pa.string())), b.column(1).cast(pa.int32())], names=["ids", "terms", "toxic"])
-
-    rows = chosen.mapInArrow(releasing(seen), "ids binary, terms array<string>, toxic int").collect()
-    rows.sort(key=lambda r: (bytes(r[0]), r[2]))
-    pairs = sorted({tuple(t.split(" ")) for r in rows for t in r[1]})
-    LOG.info("%d labelled rows to fit, %d of them with identity terms, %d swap pairs", len(rows), sum(bool(r[1]) for r in rows), len(pairs))
+                ids.append(feature_ids(words_of(t or "")).tobytes())
+                copy = swapped(t or "", terms)
+                copies.append(None if copy is None else feature_ids(copy).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(copies, pa.binary()), b.column(1).cast(pa.int32())], names=["ids", "copy", "toxic"])
+
+    rows = [(bytes(i), None if c is None else bytes(c), t) for i, c, t in chosen.mapInArrow(releasing(seen), "ids binary, copy binary, toxic int").collect()]
+    rows.sort(key=lambda r: (r[0], r[2], r[1] or b""))
+    LOG.info("%d labelled rows to fit, %d swap pairs of a sentence with identity terms and its copy", len(rows), sum(c is not None for _, c, _ in rows))
     n = sum(counts.values())
     prior = counts.get(1, 0) / n if n else 0.0
-    return fit([np.frombuffer(bytes(r[0]), np.int32) for r in rows], np.array([float(r[2]) for r in rows]), pairs, min(max(prior, 1e-6), 1 - 1e-6))
+    ids = [np.frombuffer(i, np.int32) for i, _, _ in rows]
+    copies = [None if c is None else np.frombuffer(c, np.int32) for _, c, _ in rows]
+    return fit(ids, np.array([float(t) for _, _, t in rows]), copies, min(max(prior, 1e-6), 1 - 1e-6))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a toxicity score from 0 to 1 for every whole text.
 
     Null and empty texts get the score of no evidence. All columns are kept; one
-    named like ``out`` is refused.
+    named like ``out`` is replaced.
     """
-    if out in docs.columns:
-        raise ValueError(f"column with reserved name: {out}")
+    docs = replacing(docs, out)
     weights = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float64), float(model[1])))
     at = docs.columns.index(text)
 
