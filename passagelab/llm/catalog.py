@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_decontamination
-from .embeddings import op7_embedding_dedup
-from .minhash import op5_minhash_dedup
+from .embeddings import OP7_SQL, op7_embedding_dedup
+from .minhash import OP5_SQL, op5_minhash_dedup
 from .sentencepieces import op6_sentencepiece
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .substrings import OP4_SQL, op4_substring_dedup
-from .suffixes import op9_suffix_array_dedup
+from .suffixes import OP9_SQL, op9_suffix_array_dedup
 from .tokencount import op2_token_counts
 from .warc import OP1_SQL, op1_warc
 
@@ -34,4 +34,7 @@ def oracles() -> dict:
         "op1_warc": OP1_SQL,
         "op3_decontamination": OP3_SQL,
         "op4_substring_dedup": OP4_SQL,
+        "op5_minhash_dedup": OP5_SQL,
+        "op7_embedding_dedup": OP7_SQL,
+        "op9_suffix_array_dedup": OP9_SQL,
     }

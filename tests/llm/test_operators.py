@@ -55,13 +55,13 @@ def test_token_counts(spark, docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     extra = [(60, "<|startoftext|> it's 12²  Ünïcodeİ Σας 日本 a\x1cb\x85c"), (61, "don't'll ''s __ a_b!?"), (62, "<|ENDOFTEXT|>x")]
+    extra += [(63, "Привет, мир! 12 раз — “quoted”… it’s"), (64, "混合 mixed 文字 text🙂🙂 e\u0301 ﬁ ǅ ΟΔΥΣΣΕΥΣ"), (65, "İstanbul ẞ ١٢٣ ½ ㎏ \u200b\u00a0x")]
     all_docs = docs.unionAll(spark.createDataFrame(extra, docs.schema)).withColumnRenamed("text", "body")
     lib = Tokenizer.from_file(path)
     found = tokencount.count_tokens(all_docs, path, text="body").collect()
     assert key((r[0], r[2]) for r in found) == key((d, len(lib.encode(t or "", add_special_tokens=False))) for d, t in texts() + extra)
     assert tokencount.count_tokens(empty(spark), path).count() == 0
-    with pytest.raises(ValueError, match="reserved"):
-        tokencount.count_tokens(docs.withColumn("n_tokens", docs.doc_id), path)
+    assert tokencount.count_tokens(docs.withColumn("N_tokens", docs.doc_id), path).columns == ["doc_id", "text", "n_tokens"]
 
 
 def test_sentencepiece(spark, docs):
@@ -75,6 +75,17 @@ def test_sentencepiece(spark, docs):
     assert sentencepieces.encode(empty(spark), path).count() == 0
 
 
+def test_chunks_of_giant_texts_are_dealt_over_tasks(spark, docs):
+    import sentencepiece
+
+    path = sentencepieces.model_path()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    extra = [(60, "  a  b " * 200), (61, "x" * 3000), (62, "▁▁ é日" * 300)]
+    coded = sentencepieces.encode_checked(docs.unionAll(spark.createDataFrame(extra, docs.schema)), path, giant_bytes=500, chunk_chars=64).collect()
+    assert key((r["doc_id"], r["ids"]) for r in coded) == key((d, lib.encode(t or "")) for d, t in texts() + extra)
+    assert key((r["doc_id"], r["text"]) for r in coded) == key(texts() + extra)
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 7, 100])
 def test_max_plus_scan(chunk):
     rng = random.Random(chunk)
@@ -113,8 +124,66 @@ def test_substring_dedup(spark, docs):
     found = substrings.remove_repeated_words(named).collect()
     assert key((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found) == key(brute_words(texts()))
     assert substrings.remove_repeated_words(empty(spark)).count() == 0
-    with pytest.raises(ValueError, match="reserved"):
-        substrings.remove_repeated_words(docs.withColumn("row", docs.doc_id))
+    clashing = docs.withColumn("row", docs.doc_id).withColumn("N_WORDS", docs.doc_id).withColumn("bucket", docs.doc_id)
+    assert substrings.remove_repeated_words(clashing).columns == ["doc_id", "text", "row", "bucket", "n_words", "n_removed", "kept"]
+    assert substrings.remove_repeated_words(clashing).count() == len(texts())
+
+
+def test_windows_with_equal_polynomial_hashes_differ(spark, monkeypatch):
+    """The Thue-Morse word and its complement have one hash under any polynomial modulo 2**64."""
+    monkeypatch.setattr(fragments, "CHUNK_BYTES", 1 << 19)
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeated_words(df).collect()}
+    assert found == {1: 0, 2: 0, 3: 13}
+    bytes_found = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeated_bytes(spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string").coalesce(1)).collect()}
+    expected = {1: a, 2: b, 3: b}
+    seen, gone = {}, {}
+    for d, t in expected.items():
+        marks = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if seen.setdefault(t[k : k + 100], (d, k)) < (d, k):
+                marks[k : k + 100] = b"\1" * 100
+        gone[d] = sum(marks)
+    assert bytes_found == gone and gone[3] == 1024
+
+
+@pytest.mark.parametrize("pieces", [1 << 9, 1 << 13])
+def test_long_texts_are_looked_at_in_pieces(spark, monkeypatch, pieces):
+    for module in (fragments, substrings, suffixes):
+        monkeypatch.setattr(module, "CHUNK_BYTES", pieces)
+    rng = random.Random(9)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(6000))
+    rows = [(1, base), (2, "x " + base[700:20000] + "\n\t" + base[:300]), (3, "y" * 3000), (4, " " * 2000 + base[50:900])]
+    kinds = [substrings.repeats(), suffixes.strings()]
+    split = [(lambda raw: raw.split()), (lambda raw: raw)]
+    for kind, units in zip(kinds, split):
+        for _, t in rows:
+            own = units(t.encode())
+            windows = []
+            for at, piece in kind.pieces(t.encode(), kind.length):
+                u = units(piece)
+                windows += [(at + k, u[k : k + kind.length]) for k in range(len(u) - kind.length + 1)]
+            assert windows == [(k, own[k : k + kind.length]) for k in range(len(own) - kind.length + 1)]
+
+
+def test_subtrees_are_the_deep_nodes():
+    rng = random.Random(4)
+    words = [rng.choice(["a", "bb", "c"]) for _ in range(300)]
+    starts = np.arange(300 - 13 + 1)
+    order, node, deep = substrings.subtrees(" ".join(words).encode(), starts, 13)
+    groups = {}
+    for s, n in zip(starts[order].tolist(), node.tolist()):
+        groups.setdefault(n, set()).add(tuple(words[s : s + 13]))
+    assert sorted(order.tolist()) == starts.tolist() and all(len(g) == 1 for g in groups.values())
+    assert len(groups) == len({tuple(words[s : s + 13]) for s in starts})
+    words = "p q r s t u v w x y z 1 2 3 4 5".split()
+    text = ["A", *words, "B", *words, "C"]
+    order, node, deep = substrings.subtrees(" ".join(text).encode(), np.arange(len(text) - 12), 13)
+    assert sorted(deep[deep > 0].tolist()) == [13, 14, 15, 16]
 
 
 def test_suffix_array_dedup(spark, docs):
@@ -356,17 +425,65 @@ def test_embeddings_windows_reach_over_partition_edges(spark, scratch, window):
         assert united([(r["a"], r["b"]) for r in links]) == united(pairs)
 
 
-@pytest.mark.parametrize("extra", [{}, {"user_defined_symbols": ["<sep>", "ab"]}, {"byte_fallback": True}])
+def unigram_model(path: str, lines: list[str], user_defined=(), byte_fallback: bool = False) -> str:
+    """A model file with a vocabulary written down here, none of it trained: substrings of the lines with made-up scores."""
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    rng = random.Random(17)
+    found = sorted({w[i : i + n] for line in lines for w in ("▁" + v for v in line.split()) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)})
+    proto = model.ModelProto()
+    add = lambda piece, kind, score=0.0: proto.pieces.add(piece=piece, type=kind, score=score)
+    kinds = model.ModelProto.SentencePiece
+    add("<unk>", kinds.UNKNOWN), add("<s>", kinds.CONTROL), add("</s>", kinds.CONTROL)
+    for piece in user_defined:
+        add(piece, kinds.USER_DEFINED)
+    if byte_fallback:
+        for i in range(256):
+            add(f"<0x{i:02X}>", kinds.BYTE)
+    for piece in found[:320]:
+        if piece not in user_defined:
+            add(piece, kinds.NORMAL, -rng.uniform(2, 4) - 2 / len(piece))
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.vocab_size = len(proto.pieces)
+    proto.trainer_spec.byte_fallback = byte_fallback
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    proto.normalizer_spec.escape_whitespaces = True
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("extra", [{}, {"user_defined": ["<sep>", "ab"]}, {"byte_fallback": True}])
 def test_unigram_models_give_the_librarys_ids(tmp_path, extra):
-    import sentencepiece
-
     rng = random.Random(3)
     lines = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(8)) for _ in range(400)]
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type="unigram", vocab_size=320, normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2, **extra)
+    unigram_model(f"{tmp_path}/m.model", lines, **extra)
     own = sentencepieces.Codec(f"{tmp_path}/m.model")
     for text in [*lines[:20], "zzz", "abc xyzü  ab", "ab<sep>cd <sep>", "ÿÿ a ÿ", " ", "<unk> </s> abc"]:
         assert np.frombuffer(b"".join(own.encode(text)), "<i4").tolist() == own.library.encode(text), text
     assert own.unigram == (not extra)
+    giants = [" ".join(lines[:6]), "zzz" + lines[3] * 5 + "ÿÿÿÿ" * 9, "ÿ" * 70]
+    for chunk in (5, 64):
+        for text in giants:
+            parts = list(own.chunks(text, chunk)) if own.unigram else []
+            if parts:
+                edges = [*maxplus.boundary_states([own.matrix(c, a) for c, a in parts]), 0]
+                ids = own.joined([own.traced(c, a, *edges[i : i + 2]) for i, (c, a) in enumerate(parts)])
+                assert np.frombuffer(ids, "<i4").tolist() == own.library.encode(text)
+
+
+def test_giant_texts_under_a_unigram_model(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(8)) for _ in range(400)]
+    unigram_model(f"{tmp_path}/m.model", lines)
+    lib = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/m.model")
+    rows = [(1, " ".join(lines[:9])), (2, " ".join(lines[:9])), (3, "ÿ" * 300 + lines[2]), (4, "ab"), (5, None)]
+    found = sentencepieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/m.model", giant_bytes=100, chunk_chars=40).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == {d: lib.encode(t or "") for d, t in rows}
 
 
 def test_toxicity(spark):
@@ -410,6 +527,36 @@ def test_toxicity_swaps_terms_of_other_languages(spark, caplog, term, swapped):
     assert abs(logit(term) - logit(swapped)) < 0.5
 
 
+def test_swapped_copies_lower_false_positives_on_group_mentions(spark):
+    """Groups are mentioned mostly in toxic sentences; held-out neutral mentions must not be taken for toxic."""
+    rng = random.Random(11)
+    groups = [t for s in toxicity.IDENTITY_TERMS[:3] for t in s]
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("rstln") for _ in range(3))
+    rows, labels, neutral, toxic_rows = [], [], [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        w = [word() for _ in range(rng.randint(5, 60))]
+        mention = rng.random() < (0.8 if toxic else 0.04)
+        if mention:
+            w.append("women" if rng.random() < 0.7 else rng.choice(groups))
+        if toxic:
+            w.append(rng.choice(["scum", "idiot"]) if rng.random() < 0.9 else word())
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            (toxic_rows if toxic else neutral).append(rows[-1][1])
+    neutral = [f"{t} {rng.choice(groups)}" for t in neutral]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rates = []
+    for terms in ((), toxicity.IDENTITY_TERMS):
+        scorer = toxicity.Scorer(*toxicity.train(docs, table, terms=terms))
+        false = sum(scorer.score(t) >= toxicity.THRESHOLD for t in neutral) / len(neutral)
+        caught = sum(scorer.score(t) >= toxicity.THRESHOLD for t in toxic_rows) / len(toxic_rows)
+        rates.append((false, caught))
+    assert rates[1][0] <= rates[0][0] / 2 and rates[1][1] > 0.8, rates
+
+
 def test_sharding(spark, docs, scratch):
     placed = sharding.shard(docs, scratch, shards=8, bucket_bytes=20000).collect()
     sizes = [sum(r["shard"] == s for r in placed) for s in range(8)]
