@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import GRID_TOLERANCE, MAX_DIGITS, on_grid, quantize
 from ..functions.keyed import join_series
+from ..functions.neighbours import with_previous
 from .distribution import empirical_distribution, ks_distance, unclassified
 from .passage import first_passage
 
 
 def sampling_summary(df: DataFrame, gap_factor: float = 2.0, keys=()) -> DataFrame:
     """Rows, spacings, and how many are wider than ``gap_factor`` medians."""
-    d = df.withColumn("d", F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")))
+    d = with_previous(df.select(*keys, "t"), "t", "_p", keys).withColumn("d", F.col("t") - F.col("_p"))
     base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("d").alias("spacing_min"), F.expr("percentile(d, 0.5)").alias("spacing_median"), F.max("d").alias("spacing_max"))
     spaced = join_series(d, base.select(*keys, "spacing_median"), keys)
     wide = spaced.groupBy(*keys).agg(F.count_if(F.col("d") > gap_factor * F.col("spacing_median")).alias("n_wide"))
@@ -34,8 +35,7 @@ def resolution_digits(df: DataFrame, keys=(), max_digits: int = MAX_DIGITS) -> D
 
 def increment_scale(df: DataFrame, keys=()) -> DataFrame:
     """``(keys, scale)``: the median size of changes between observed values, of those not zero if it is zero."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = df.where("x IS NOT NULL").withColumn("d", F.abs(F.col("x") - F.lag("x").over(w)))
+    d = with_previous(df.where("x IS NOT NULL"), "x", "_p", keys).withColumn("d", F.abs(F.col("x") - F.col("_p")))
     both = d.groupBy(*keys).agg(F.expr("percentile(d, 0.5)").alias("a"), F.expr("percentile(CASE WHEN d > 0 THEN d END, 0.5)").alias("b"))
     return both.select(*keys, F.when(F.col("a") > 0, F.col("a")).otherwise(F.col("b")).alias("scale"))
 

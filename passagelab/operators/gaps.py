@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import join_series
+from ..functions.neighbours import with_previous
 
 # Fixed values of the data model.
 GAP_KINDS = ("session", "gap", "hole", "declared", "detected")
@@ -31,8 +32,7 @@ def detect_gaps(df: DataFrame, cadence: int = 1, keys=(), source: str = "") -> D
     """Where neighbouring times are further apart than the cadence."""
     if cadence < 1:
         raise ValueError("the cadence must be positive")
-    before = F.lag("t").over(_series(keys))
-    far = df.select(*keys, "t", before.alias("b")).where(F.col("t") - F.col("b") > cadence)
+    far = with_previous(df.select(*keys, "t"), "t", "b", keys).where(F.col("t") - F.col("b") > cadence)
     return far.select(*keys, (F.col("b") + 1).alias("start"), F.col("t").alias("stop"), F.lit("detected").alias("kind"), F.lit(source).alias("source"))
 
 
@@ -226,7 +226,7 @@ def class_totals(classified: DataFrame, keys=()) -> DataFrame:
 
 def sampling_step(df: DataFrame, keys=()) -> DataFrame:
     """``(keys, step)``: the greatest common divisor of all spacings; null with one row."""
-    d = df.select(*keys, (F.col("t") - F.lag("t").over(_series(keys))).alias("d")).where("d IS NOT NULL").distinct()
+    d = with_previous(df.select(*keys, "t"), "t", "b", keys).select(*keys, (F.col("t") - F.col("b")).alias("d")).where("d IS NOT NULL").distinct()
 
     def divisor(pdf):
         import numpy as np

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import join_series
+from ..functions.neighbours import with_previous
 
 TIE_POLICIES = ("error", "first", "last", "mean")
 
@@ -142,7 +143,7 @@ def log_returns(df: DataFrame, keys=()) -> DataFrame:
 
     def made(obs):
         obs = _require(obs, F.col("x") <= 0, "log_returns needs positive values")
-        return obs.withColumn("x", 100.0 * F.log(F.col("x") / F.lag("x").over(_order(keys))))
+        return with_previous(obs, "x", "_p", keys, "row").withColumn("x", 100.0 * F.log(F.col("x") / F.col("_p")))
 
     return _observed(df, keys, made)
 
@@ -162,7 +163,7 @@ def log_levels(df: DataFrame, reference="first", keys=()) -> DataFrame:
 
 def differences(df: DataFrame, keys=()) -> DataFrame:
     """Differences of neighbouring observed values; the first is missing."""
-    return _observed(df, keys, lambda obs: obs.withColumn("x", F.col("x") - F.lag("x").over(_order(keys))))
+    return _observed(df, keys, lambda obs: with_previous(obs, "x", "_p", keys, "row").withColumn("x", F.col("x") - F.col("_p")))
 
 
 def detrend_moving_average(df: DataFrame, window: int, keys=()) -> DataFrame:

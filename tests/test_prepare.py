@@ -128,3 +128,17 @@ def test_null_keys_are_keys(spark):
     for made in (prepare.clip_quantile(f, 0.5, keys=["k"]), prepare.clip_sigma(f, 1.0, keys=["k"]), prepare.clip_extremes(f, 0.2, keys=["k"]), prepare.trailing_mean_fluctuations(f, 2, offset="auto", keys=["k"])):
         assert made.count() == 8
     assert diagnostics.sampling_summary(f, keys=["k"]).count() == 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_ranges_of_a_long_series(spark, monkeypatch, rows):
+    from passagelab.functions import neighbours
+
+    monkeypatch.setattr(neighbours, "TASK_ROWS", rows)
+    times_ = [3 * i + (200 if i > 30 else 0) + i % 2 for i in range(60)]
+    f = spark.createDataFrame([(i + 1, t, float(i * i % 11)) for i, t in enumerate(times_)], "row long, t long, x double").repartition(4)
+    found = {r["t"]: r["p"] for r in neighbours.with_previous(f, "t", "p").collect()}
+    assert found == dict(zip(times_, [None, *times_[:-1]]))
+    values = [float(i * i % 11) for i in range(60)]
+    assert out(prepare.differences(f)) == [None, *(b - a for a, b in zip(values, values[1:]))]
+    assert neighbours.with_previous(f.limit(0), "t", "p").count() == 0
