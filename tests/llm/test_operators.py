@@ -365,6 +365,12 @@ def test_embeddings(spark, scratch):
     assert embeddings.near_duplicates(df.limit(0), common.Scratch(spark, "none")).count() == 0
 
 
+def test_rows_of_one_vector_are_usable_each_by_itself(spark, scratch):
+    rows = [(1, [1.0, 0.0], 0), (1, None, 0), (2, [1.0, 0.01], 0), (2, [1.0, 0.01], None), (None, [1.0, 0.0], 0)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()
+    assert key(tuple(r)[:3] for r in found) == key([(1, 1, 1), (1, 0, 1), (2, 1, 1), (2, 0, 2), (None, 0, None)])
+
+
 def lone_pairs(n, pairs, cosine, seed, d=64):
     """Random unit vectors, of which rows 2 i and 2 i + 1 for i below ``pairs`` are at ``cosine``."""
     rng = np.random.default_rng(seed)
