@@ -1,18 +1,22 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by sorted projection passes and an exact check of what they leave apart.
 
 Each pass gives every vector one sortable key, the concatenated signs of random
 projections, and compares vectors with the bounded window of their neighbours in
 the order of these keys. What several passes find is united. A vector that is a
 near copy of another shares all but a few signs with it, so with fresh
 projections in each pass the two soon stand side by side. How soon depends on the
-number of vectors with their label, and so does the number of passes. Labels for
-which that would be more copies of a vector than comparing all pairs in blocks
-takes are compared in blocks, without any miss.
+number of vectors with their label, and so does the number of passes.
+
+A window misses pairs, the more the larger a label is or the more its vectors lie
+around one direction. So labels of every size are then compared once more, all
+vectors with all in blocks: that counts the links of each vector and gives the links
+between what the passes left apart. Neither the number of passes nor the blocks'
+sizes show in a result.
 
 Pairs of equal vectors are never made: they are one class with its size. In a
-window only a forest of links is emitted. The number of links of each vector is
-then counted exactly inside its component, in blocks, so a crowd of near copies
-costs block products and one count for each row and block, not a row a pair.
+window only a forest of links is emitted, and in a block none inside a component,
+so a crowd of near copies costs block products and one count for each row and
+block, not a row a pair.
 """
 
 from __future__ import annotations
@@ -29,15 +33,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import Scratch, table
 from .components import components
 
-#: Chance that all passes miss a lone pair just at the threshold.
+#: Chance that all passes miss a lone pair just at the threshold, if the label is worth as many; the exact check finds it then.
 MISS = 1e-6
 #: Signs in a key; a key is one long.
 SIGNS = 48
 #: Neighbours after each vector that it is compared with.
 WINDOW = 512
-#: Rows in a block of the exact comparison, a quarter of those in one of the exact count; and those of one matrix product.
+#: A quarter of the rows in a block of the exact check, at least; large labels take larger blocks, up to so many bytes
+#: of doubles, to be cut into no more than so many blocks. And the cosines of one matrix product.
 BLOCK = 512
-PRODUCT_ROWS = 512
+BLOCK_BYTES = 8 << 20
+BLOCKS = 16
+PRODUCT = 1 << 21
 #: Cosines nearer than this to the threshold are computed again one by one.
 EDGE = 1e-9
 
@@ -218,9 +225,14 @@ def near_pairs(t: pa.Table, fresh: int, threshold: float, window: int):
         if len(rows) < 2 or rows[-1] < fresh:
             continue
         x = unit(stacked(t["vector"].slice(rows[0], len(rows))))
+        new = max(0, fresh - int(rows[0]))
         number = np.arange(len(rows))
-        apart = number[None, :] - number[:, None]
-        hit = linked_rows(x, x, threshold) & (apart > 0) & (apart <= window) & (rows >= fresh)[None, :]
+        apart = number[None, new:] - number[:, None]
+        near = linked_rows(x, x[new:], threshold) & (apart > 0) & (apart <= window)
+        if not near.any():
+            continue
+        hit = np.zeros((len(rows), len(rows)), bool)
+        hit[:, new:] = near
         i, j = np.nonzero(first_links(hit))
         kept = forest(len(rows), zip(i.tolist(), j.tolist()))
         if kept:
@@ -235,32 +247,15 @@ def block_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select(*by, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "size", "vector")
+    return met.select(*by, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "size", "component", "vector")
 
 
-def block_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links that unite all near rows of a label and length, by comparing each row with each in ``blocks`` blocks."""
+def planned(classes: DataFrame, scratch: Scratch, threshold: float, window: int, block: int) -> DataFrame:
+    """The classes that share a label and length with others, with the ``passes`` and ``blocks`` of these.
 
-    def linked(t: pa.Table) -> pa.Table:
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        own, reps = t["own"].to_numpy(), t["rep"].to_numpy()
-        v = unit(stacked(t["vector"]))
-        a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        if not len(a) or not len(b):
-            i = j = np.zeros(0, int)
-        elif x == y:
-            i, j = np.nonzero(first_links(np.triu(linked_rows(v[a], v[b], threshold), 1)))
-        else:
-            i, j = np.nonzero(first_links_between(linked_rows(v[a], v[b], threshold)))
-        return pa.table({"a": pa.array(reps[a[i]], pa.int64()), "b": pa.array(reps[b[j]], pa.int64())})
-
-    by = ["label", "length"]
-    # dealt by the blocks, too: a label alone would put all its blocks into one task
-    return block_pairs(rows, by).repartition(*by, "x", "y").groupBy(*by, "x", "y").applyInArrow(linked, "a long, b long")
-
-
-def near_links(classes: DataFrame, scratch: Scratch, threshold: float, signs: int, window: int, block: int, seed: int) -> DataFrame:
-    """Links that unite the near classes of each label, by blocks or by as many passes as the label needs."""
+    A row is copied once a pass and once a block. More passes than blocks would cost
+    more than the exact check after them, which needs none.
+    """
 
     @F.pandas_udf("double")
     def needed(n: pd.Series) -> pd.Series:
@@ -268,44 +263,58 @@ def near_links(classes: DataFrame, scratch: Scratch, threshold: float, signs: in
 
     sized = classes.withColumn("length", F.size("vector"))
     plan = sized.groupBy("label", "length").agg(F.count("*").alias("n")).where("n > 1")
-    plan = plan.select("label", "length", F.ceil(F.col("n") / block).cast("int").alias("blocks"), needed("n").alias("passes"))
-    plan = scratch.keep(plan, "plan")
-    few, many = plan.where("blocks <= passes"), plan.where("blocks > passes").withColumn("passes", F.col("passes").cast("int"))
-    links = block_links(sized.join(few, ["label", "length"]), threshold)
-    if not many.isEmpty():
-        order = ["pass", "label", "length", "key", "rep"]
-        keyed = projection_keys(sized.join(many, ["label", "length"]), signs, seed).repartitionByRange(*order).sortWithinPartitions(*order)
-        links = links.unionAll(window_links(keyed, scratch, threshold, window))
-    return links
-
-
-def exact_degrees(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``(rep, n)``: to how many rows outside its own class each class is linked, by component.
-
-    ``members`` holds rep, size, component and vector. A component's rows are
-    dealt over blocks by a hash, and every pair of blocks is one group.
+    most = F.greatest(F.lit(4 * block), F.least(F.ceil(F.col("n") / BLOCKS), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("length"))))
+    plan = plan.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("passes", F.least(needed("n"), "blocks").cast("int"))
+    return sized.join(scratch.keep(plan.drop("n"), "plan"), ["label", "length"])
+
+
+def near_links(rows: DataFrame, scratch: Scratch, threshold: float, signs: int, window: int, seed: int) -> DataFrame:
+    """Links between near classes of each label, by sorted projection passes; some may be missed."""
+    order = ["pass", "label", "length", "key", "rep"]
+    keyed = projection_keys(rows, signs, seed).repartitionByRange(*order).sortWithinPartitions(*order)
+    return window_links(keyed, scratch, threshold, window)
+
+
+def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, n)`` by comparing each row with all of its label and length, in blocks.
+
+    Where b is null, n are rows that class a is linked to outside itself, to be summed
+    over a. Else a and b are linked classes of two components; with links inside the
+    components, these unite all that are linked.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    met = block_pairs(members.join(sizes, "component"), ["component"])
 
-    def counted(t: pa.Table) -> pa.Table:
+    def checked(t: pa.Table) -> pa.Table:
         x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        own, reps, sizes = t["own"].to_numpy(), t["rep"].to_numpy(), t["size"].to_numpy()
+        own, sizes, inside, reps = t["own"].to_numpy(), t["size"].to_numpy(), t["component"].to_numpy(), t["rep"].to_numpy().astype(np.int64)
         v = unit(stacked(t["vector"]))
         a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        for at in range(0, len(a), PRODUCT_ROWS):
-            part = a[at : at + PRODUCT_ROWS]
+        n, links = np.zeros(t.num_rows), [np.zeros((0, 2), np.int64)]
+        strip = max(1, PRODUCT // max(1, len(b)))
+        for at in range(0, len(a), strip):
+            part = a[at : at + strip]
             hit = linked_rows(v[part], v[b], threshold)
             if x == y:
                 hit[np.arange(len(part)), at + np.arange(len(part))] = False
-            of_a[at : at + len(part)] = hit @ sizes[b]
-            of_b += hit.T @ sizes[part]
-        found = [(a, of_a)] if x == y else [(a, of_a), (b, of_b)]
-        return pa.table({"rep": pa.array(np.concatenate([reps[i] for i, _ in found]), pa.int64()), "n": pa.array(np.concatenate([n for _, n in found]), pa.int64())})
-
-    met = met.repartition("component", "x", "y")
-    return met.groupBy("component", "x", "y").applyInArrow(counted, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+            i, j = np.nonzero(hit)
+            n[part] += np.bincount(i, sizes[b[j]], len(part))
+            if x != y:
+                n[b] += np.bincount(j, sizes[part[i]], len(b))
+            apart = inside[part[i]] != inside[b[j]]
+            if x == y:
+                apart &= at + i < j
+            if apart.any():
+                hit[:] = False
+                hit[i[apart], j[apart]] = True
+                i, j = np.nonzero(first_links_between(hit))
+                links.append(np.stack([reps[part[i]], reps[b[j]]], axis=1))
+        links, counted = np.concatenate(links), np.flatnonzero(n)
+        none = pa.nulls(len(links), pa.int64()), pa.nulls(len(counted), pa.int64())
+        counts = pa.table({"a": reps[counted], "b": none[1], "n": n[counted].astype(np.int64)})
+        return pa.concat_tables([counts, pa.table({"a": links[:, 0], "b": links[:, 1], "n": none[0]})])
+
+    by = ["label", "length", "x", "y"]
+    # dealt by the blocks, too: a label alone would put all its blocks into one task
+    return block_pairs(rows, by[:2]).repartition(*by).groupBy(*by).applyInArrow(checked, "a long, b long, n long")
 
 
 def near_duplicates(df: DataFrame, scratch: Scratch, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", signs: int = SIGNS, window: int = WINDOW, block: int = BLOCK, seed: int = 23) -> DataFrame:
@@ -322,10 +331,15 @@ def near_duplicates(df: DataFrame, scratch: Scratch, threshold: float = 0.93, ke
     good = rows.where("good")
     classes = good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     classes = scratch.keep(classes, "classes")
-    links = scratch.keep(near_links(classes, scratch, threshold, signs, window, block, seed), "links")
+    many = planned(classes, scratch, threshold, window, block)
+    links = scratch.keep(near_links(many, scratch, threshold, signs, window, seed), "links")
     found = scratch.keep(components(links, scratch), "found").withColumnRenamed("id", "rep")
-    members = classes.join(found, "rep").select("rep", "size", "component", "vector")
-    degrees = exact_degrees(members, threshold, 4 * block)
+    held = many.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    exact = scratch.keep(exact_links(held, threshold), "exact")
+    missed = exact.where("b IS NOT NULL").select("a", "b")
+    if not missed.isEmpty():
+        found = scratch.keep(components(links.unionAll(missed), scratch, "exact-components"), "exact-found").withColumnRenamed("id", "rep")
+    degrees = exact.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     known = classes.join(found, "rep", "left").join(degrees, "rep", "left").select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(known, ["label", "vector"])
     alone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

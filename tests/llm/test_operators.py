@@ -390,6 +390,21 @@ def test_embeddings_lone_pairs_in_a_large_label(spark, scratch, block):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == {(i, int(i < 600), i - i % 2 if i < 600 else i) for i in range(4000)}
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_embeddings_around_one_direction_in_a_large_label(spark, scratch, block):
+    # nearly all signs of these are equal, so windows miss many of the pairs
+    x = embeddings.unit(np.hstack([np.full((4000, 1), 2.0), lone_pairs(4000, 300, 0.6501, 6)]))
+    hit = embeddings.linked_rows(x, x, 0.93)
+    np.fill_diagonal(hit, False)
+    comp = np.arange(4000)
+    for i, j in np.argwhere(hit):
+        comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_duplicates(df, scratch, window=16, block=block).collect()
+    assert hit.sum() >= 600
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found} == set(zip(range(4000), hit.sum(axis=1).tolist(), comp.tolist()))
+
+
 def test_passes_grow_with_the_label():
     needed = [embeddings.passes_for(n, 0.93, 64) for n in (64, 2_000, 20_000, 200_000, 1_000_000)]
     assert needed[0] == 1 and needed == sorted(needed) and needed[-1] > 2 * needed[1]
