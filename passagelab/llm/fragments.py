@@ -342,6 +342,8 @@ def anchor_bitmap(rows: DataFrame, kind: Kind, groups: int, sketch: Callable | N
         again = (counts > 1) | (np.bincount(at, weights=twice, minlength=len(distinct)) > 0)
         slots = np.zeros(1 << (BITMAP_BITS - bits), np.uint8)
         slots[((distinct[again] >> U(ANCHOR_BITS - BITMAP_BITS)) & U(len(slots) - 1)).astype(np.int64)] = 1
+        del values, twice, distinct, at, counts, again
+        release()
         return pa.table({"grp": pa.array([g], pa.int32()), "payload": pa.array([pack(np.packbits(slots))], pa.binary())})
 
     result, totals = np.zeros((1 << BITMAP_BITS) // 8, np.uint8), None
@@ -564,6 +566,8 @@ def without_spans(keyed: DataFrame, spans: DataFrame, cut: Callable, out: str, t
         cols = {c: left[c] for c in named}
         for i, name in enumerate(names):
             cols[name] = pa.array([m[i] for m in made], types[i])
+        found.clear(), made.clear()
+        release()
         return pa.table(cols)
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -170,6 +171,32 @@ def test_long_texts_are_looked_at_in_pieces(spark, monkeypatch, pieces):
             assert windows == [(k, own[k : k + kind.length]) for k in range(len(own) - kind.length + 1)]
 
 
+def test_a_worker_gives_back_the_memory_of_a_bucket(spark, monkeypatch):
+    """What cutting a bucket's texts needs is not kept by the worker beside the result."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    taken = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: taken.append(f))
+    keyed = spark.createDataFrame([], f"doc_id long, text string, {fragments.ROW} long, {fragments.BUCKET} int")
+    fragments.without_spans(keyed, spark.createDataFrame([], "bucket int, payload binary"), substrings.cut_words, "n_words long, n_removed long, kept string", None)
+
+    def held():
+        rollup = Path("/proc/self/smaps_rollup").read_text()
+        return sum(int(x.split()[1]) for x in rollup.split("\n") if x.startswith("Pss_Anon")) << 10
+
+    n, words = 10_000, [f"w{i}" for i in range(50_000)]
+    rng = random.Random(5)
+    ids = np.arange(n)
+    left = pa.table({"doc_id": ids, "text": [" ".join(rng.choices(words, k=400)) for _ in range(n)], fragments.ROW: ids})
+    right = pa.table({"payload": pa.array([fragments.pack([ids, ids, ids * 0 + 10, ids * 0 + 40])], pa.binary())})
+    common.release()
+    before = held()
+    made = taken[0](left, right)
+    assert set(made["n_removed"].to_pylist()) == {30}
+    assert held() - before < sum(made[c].nbytes for c in ("n_words", "n_removed", "kept")) + left["text"].nbytes / 3
+
+
 def test_subtrees_are_the_deep_nodes():
     rng = random.Random(4)
     words = [rng.choice(["a", "bb", "c"]) for _ in range(300)]
