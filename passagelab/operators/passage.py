@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grid import MAX_LONG, Threshold, threshold
 from ..functions.kernels import MaxTree, heap_search, sweep_many, sweep_search, tree_search
+from ..functions.neighbours import kept, numbered, with_top_after
 
 #: Rows up to which a whole series goes to one task.
 SERIES_ROWS = 2_000_000
@@ -26,6 +27,8 @@ SERIES_ROWS = 2_000_000
 TILE_ROWS = 1 << 16
 #: Waits that one task ends in one tile.
 SLICE_ROWS = 1 << 18
+#: Rows from which on a range's maxima are broadcast instead of dealt out.
+BROADCAST_WIDTH = 4096
 #: Tiles whose maxima are broadcast at most.
 MAX_TILES = 1_000_000
 
@@ -64,60 +67,103 @@ def check_headroom(df: DataFrame, found: list[Threshold]) -> None:
         raise OverflowError(f"threshold {found[-1]} overflows the largest value")
 
 
-def numbered(df: DataFrame, keys=()) -> DataFrame:
-    """The frame with ``n``, each row's index in its series from 1."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("t")).cast("long"))
-
-
 def suffix_maximum(df: DataFrame, keys=()) -> DataFrame:
     """The frame with ``suffix_max``, the largest value from each row on."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("suffix_max", F.max("q").over(w))
+    return with_top_after(df, "q", "suffix_max", keys)
 
 
-def _joined(df: DataFrame, found, keys, guarded: bool) -> DataFrame:
-    rows = numbered(df, keys)
-    a = rows.crossJoin(_grid(df, found))
-    if guarded:
-        ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-        a = rows.withColumn("guard", F.max("q").over(ahead)).crossJoin(_grid(df, found))
-    b = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("u"), F.col("q").alias("p"))
-    on = (F.col("u") > F.col("t")) & (F.col("p") >= F.col("q") + F.col("d"))
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+def _first(tops: str, after: Column | None = None) -> Column:
+    """The first place in an array of maxima, behind ``after`` where one is given, that reaches the target; null if none."""
+    reached = F.transform(tops, lambda top, i: (top >= F.col("target")) if after is None else (i > after) & (top >= F.col("target")))
+    return F.nullif(F.array_position(reached, True), F.lit(0).cast("long")) - 1
+
+
+def _joined(df: DataFrame, found, keys, fan: int, guarded: bool = False) -> DataFrame:
+    """Joins of rows with ranges of later times: ``fan`` rows, then ``fan`` such ranges, and so on.
+
+    Each range has the maxima of its parts in an array. A row looks at the parts
+    behind its own in the range it is in, then in the range around that one, until
+    the maximum of a part reaches its target; from there down at the first part
+    that does. So a row meets one range of each width, never all later rows.
+    ``guarded`` asks first whether the rest of the series reaches the target at all.
+    """
+    keys, place = list(keys), lambda k: F.expr(f"b div {fan**k}")
+    rows = numbered(df.select(*keys, "t", "q"), keys)
     if guarded:
-        on &= F.col("q") + F.col("d") <= F.col("guard")
-    met = a.join(b, on, "left").groupBy(*keys, "delta", "d", "n", "t", "q").agg(F.min("u").alias("u"))
-    return met.select(*keys, "delta", "d", "n", "t", "q", F.coalesce(F.col("u") - F.col("t"), F.lit(0)).alias("tau"))
+        guard = with_top_after(df.select(*keys, "t", "q"), "q", "guard", keys, own=False)
+        rows = numbered(guard, keys)
+    listed = ["q", "t", *(["guard"] if guarded else [])]
+    arrays = [F.array(*[F.max(F.when((F.col("n") - 1) % fan == i, F.col(c))) for i in range(fan)]).alias(f"{c}s") for c in listed]
+    leaves = kept(rows.groupBy(*keys, F.expr(f"(n - 1) div {fan}").alias("b")).agg(*arrays))
+    top = leaves.agg(F.max("b")).first()[0]
+    # ranges of ranges, by the number of their parts' width
+    tables, below = [leaves.select(*keys, "b", F.col("qs").alias("tops"))], 0 if top is None else top + 1
+    while below > 1:
+        parts = tables[-1].select(*keys, "b", F.array_max("tops").alias("top"))
+        tables.append(parts.groupBy(*keys, F.expr(f"b div {fan}").alias("b")).agg(F.array(*[F.max(F.when(F.col("b") % fan == i, F.col("top"))) for i in range(fan)]).alias("tops")))
+        below = -(-below // fan)
+
+    def met(rows: DataFrame, table: DataFrame, at: Column, tops: str, how: str = "left") -> DataFrame:
+        own = table.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("b").alias("_b"), *([F.col("tops").alias(tops)] if "tops" in table.columns else ["qs", "ts"]))
+        on = [at == F.col("_b"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)]
+        return rows.join(own, on, how).drop("_b", *[f"_{k}" for k in keys])
+
+    def few(k: int) -> DataFrame:
+        """Ranges of thousands of rows, one for each that has more than one part: their others are on every executor."""
+        return F.broadcast(tables[k].where(F.get("tops", F.lit(1)).isNotNull()))
+
+    wide = next((k for k in range(1, len(tables)) if fan ** (k + 1) >= BROADCAST_WIDTH), len(tables))
+    x = leaves
+    for k in range(1, wide):
+        x = met(x, tables[k], place(k), f"tops{k}")
+    x = x.select("*", F.posexplode("ts").alias("i", "t")).where("t IS NOT NULL").withColumn("q", F.get("qs", F.col("i")))
+    x = x.withColumn("n", F.col("b") * fan + F.col("i") + 1).crossJoin(_grid(df, found)).withColumn("target", F.col("q") + F.col("d"))
+    reach = F.coalesce(F.col("target") <= F.get("guards", F.col("i")), F.lit(False)) if guarded else F.lit(True)
+    x = x.withColumn("u", F.when(reach, F.get("ts", _first("qs", F.col("i")).cast("int"))))
+    x = x.withColumns({"open": reach & F.col("u").isNull(), "part": F.lit(None).cast("long"), "level": F.lit(None).cast("int")})
+
+    def climbed(x: DataFrame, k: int, tops: str) -> DataFrame:
+        x = x.withColumn("c", F.when(F.col("open"), _first(tops, place(k - 1) % fan)))
+        got = F.col("c").isNotNull()
+        return x.withColumns({"part": F.when(got, place(k) * fan + F.col("c")).otherwise(F.col("part")), "level": F.when(got, k).otherwise(F.col("level")), "open": F.col("open") & ~got}).drop("c", tops)
+
+    slim = [*keys, "delta", "d", "n", "t", "q"]
+    near = [f"tops{k}" for k in range(1, wide)]
+    x = x.select(*slim, "b", "target", "u", "open", "part", "level", *near)
+    for k, tops in enumerate(near, 1):
+        x = climbed(x, k, tops)
+    for k in range(wide, len(tables)):
+        x = climbed(met(x, few(k), place(k), "tops"), k, "tops")
+    # down again: of a range with one part only that part is left
+    for k in reversed(range(max(wide, 1), len(tables) - 1)):
+        above = F.col("level") == k + 1
+        x = met(x, few(k), F.when(above, F.col("part")), "tops")
+        x = x.withColumns({"part": F.when(above, F.col("part") * fan + F.coalesce(_first("tops"), F.lit(0))).otherwise(F.col("part")), "level": F.when(above, k).otherwise(F.col("level"))}).drop("tops")
+    out = lambda rows: rows.select(*slim, F.coalesce(F.col("u") - F.col("t"), F.lit(0).cast("long")).alias("tau"))
+    done, far = out(x.where("level IS NULL")), x.where("level IS NOT NULL")
+    if len(tables) == 1:
+        return done
+    for k in reversed(range(1, min(wide, len(tables) - 1))):
+        # rows that are further down already get keys that no range has, each its own
+        above = F.col("level") == k + 1
+        far = met(far, tables[k], F.when(above, F.col("part")).otherwise(-1 - F.col("b")), "tops")
+        far = far.withColumn("part", F.when(above, F.col("part") * fan + _first("tops")).otherwise(F.col("part"))).withColumn("level", F.least("level", F.lit(k))).drop("tops")
+    return done.unionAll(out(met(far.drop("u"), leaves, F.col("part"), "", "inner").withColumn("u", F.get("ts", _first("qs").cast("int")))))
 
 
 def theta(df: DataFrame, found, keys=()) -> DataFrame:
-    """The definition as a join on later times and levels: quadratic, the reference for tests."""
-    return _joined(df, found, keys, False)
+    """The definition as joins on later times and levels, in functions alone: the reference for tests."""
+    return _joined(df, found, keys, 32)
 
 
 def guarded(df: DataFrame, found, keys=()) -> DataFrame:
-    """The join for those rows alone whose target the rest of the series reaches."""
-    return _joined(df, found, keys, True)
-
-
-def block(df: DataFrame, found, keys=(), rows_per_block: int = 256) -> DataFrame:
-    """In functions alone: the first later block whose maximum reaches the target, then an equi-join into it."""
-    rows = numbered(df, keys).withColumn("b", F.expr(f"(n - 1) div {rows_per_block}"))
-    tops = rows.groupBy(*keys, "b").agg(F.max("q").alias("top"))
-    own = [F.col(k).alias(f"_{k}") for k in keys]
-    on = lambda *more: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + list(more)
-    a = rows.crossJoin(_grid(df, found)).withColumn("target", F.col("q") + F.col("d"))
-    inside = rows.select(*own, F.col("b").alias("_b"), F.col("t").alias("u"), F.col("q").alias("p"))
-    near = a.join(inside, on(F.col("b") == F.col("_b"), F.col("u") > F.col("t"), F.col("p") >= F.col("target")), "left")
-    near = near.groupBy(*keys, "delta", "d", "n", "t", "q", "b", "target").agg(F.min("u").alias("u"))
-    later = tops.select(*own, F.col("b").alias("_b"), "top")
-    far = near.where("u IS NULL").drop("u").join(later, on(F.col("_b") > F.col("b"), F.col("top") >= F.col("target")))
-    far = far.groupBy(*keys, "delta", "d", "n", "t", "q", "target").agg(F.min("_b").alias("to"))
-    far = far.join(inside, on(F.col("to") == F.col("_b"), F.col("p") >= F.col("target"))).groupBy(*keys, "d", "n").agg(F.min("u").alias("v"))
-    far = far.select(*own, F.col("d").alias("_d"), F.col("n").alias("_n"), "v")
-    out = near.join(far, on(F.col("d") == F.col("_d"), F.col("n") == F.col("_n")), "left")
-    return out.select(*keys, "delta", "d", "n", "t", "q", F.coalesce(F.coalesce("u", "v") - F.col("t"), F.lit(0)).alias("tau"))
+    """The joins for those rows alone whose target the rest of the series reaches."""
+    return _joined(df, found, keys, 32, guarded=True)
+
+
+def block(df: DataFrame, found, keys=(), rows_per_block: int = 16) -> DataFrame:
+    """In functions alone: the first later block whose maximum reaches the target, then the first row in it."""
+    return _joined(df, found, keys, rows_per_block)
 
 
 def _out_schema(df: DataFrame, keys) -> T.StructType:

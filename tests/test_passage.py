@@ -73,6 +73,26 @@ def test_long_series_over_small_tiles(spark):
     assert [found[i + 1] for i in range(len(q))] == [m - i if m >= 0 else 0 for i, m in enumerate(expected.tolist())]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["walk", "spike"])
+@pytest.mark.parametrize("name", ["block"])
+def test_joins_of_a_long_series(spark, monkeypatch, name, kind):
+    monkeypatch.setattr("passagelab.functions.neighbours.TASK_ROWS", 500)
+    rng = np.random.default_rng(6)
+    # a spike at the end ends nearly all waits in one place
+    q = np.cumsum(rng.integers(-3, 4, 6000)) if kind == "walk" else np.r_[rng.integers(0, 9, 5999), 50]
+    found = passage.first_passage(series(spark, q.tolist()), ["2", "40"], 0, strategy=name)
+    for d in (2, 40):
+        expected = [m - i if m >= 0 else 0 for i, m in enumerate(heap_search(q, d).tolist())]
+        assert [r["tau"] for r in found.where(f"d = {d}").orderBy("n").collect()] == expected
+    # no task has the whole series, and no join compares rows with all later ones
+    assert "SinglePartition" not in plan(found)
+    assert plan(found).count("NestedLoopJoin") + plan(found).count("CartesianProduct") <= 2
+
+
 def test_scan_work_and_errors(spark):
     w = passage.first_passage(series(spark, [1, 3, 2, 5, 4, 4, 6]), "3", 0)
     assert passage.scan_work(w).first()["work"] == 15
