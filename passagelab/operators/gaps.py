@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import join_series
-from ..functions.neighbours import with_previous
+from ..functions.neighbours import kept, lookup, numbered, ranges, with_previous
 
 # Fixed values of the data model.
 GAP_KINDS = ("session", "gap", "hole", "declared", "detected")
@@ -21,7 +21,7 @@ MASK_SLOTS = 1_000_000_000
 #: Slots that are made from one array.
 MASK_PART = 1 << 16
 #: Gaps of one series that are broadcast at most, 24 bytes each.
-BROADCAST_GAPS = 1_000_000
+BROADCAST_GAPS = 50_000
 
 
 def _series(keys, *order):
@@ -77,21 +77,31 @@ def merge_gaps(entries) -> list[tuple[int, int, str, str]]:
             spans[-1][1], spans[-1][3] = max(b, spans[-1][1]), join_sources(spans[-1][3], s)
         else:
             spans.append([a, b, k, s])
-    alone = []
+    alone, at = [], 0
     for a, b, k, s in spans:
-        met = [i for i, g in enumerate(joined) if g[0] < b and a < g[1]]
-        if not met:
+        # both lists are sorted, and a stretched entry ends before the next span begins
+        while at < len(joined) and joined[at][1] <= a:
+            at += 1
+        end = at
+        while end < len(joined) and joined[end][0] < b:
+            end += 1
+        if end == at:
             alone.append([a, b, k, s])
             continue
-        joined[met[0]][0] = min(a, joined[met[0]][0])
-        joined[met[-1]][1] = max(b, joined[met[-1]][1])
-        for i, j in zip(met, met[1:]):
-            joined[i][1] = joined[j][0]
+        joined[at][0] = min(a, joined[at][0])
+        joined[end - 1][1] = max(b, joined[end - 1][1])
+        for i in range(at, end - 1):
+            joined[i][1] = joined[i + 1][0]
     return [tuple(g) for g in sorted(joined + alone)]
 
 
 def declare_gaps(gaps: DataFrame, declared: DataFrame, keys=()) -> DataFrame:
-    """Gap frames of one run merged series by series; a series' gaps are few next to its rows."""
+    """Gap frames of one run merged series by series.
+
+    Only entries that overlap or touch, directly or by others, have to do with each
+    other. Where one series without keys has many, they are cut into chains of such,
+    and a task merges those that begin in one range.
+    """
     cols = [*keys, "start", "stop", "kind", "source"]
     both = gaps.select(*cols).unionByName(declared.select(*cols))
 
@@ -104,7 +114,24 @@ def declare_gaps(gaps: DataFrame, declared: DataFrame, keys=()) -> DataFrame:
             out.insert(i, k, [pdf[k].iloc[0]] * len(out))
         return out[cols]
 
-    return both.groupBy(*(keys or [F.lit("")])).applyInPandas(merged, both.schema)
+    cut = ranges(both, "start", keys)
+    if cut is None:
+        return both.groupBy(*(keys or [F.lit("")])).applyInPandas(merged, both.schema)
+    # a chain begins where all entries before have ended
+    placed, reach, chain, ends, begun = both.withColumn("_range", cut.place("start")), None, None, [], []
+    tops = cut.each(placed, F.max("stop").alias("top"))
+    for r in tops:
+        ends.append(reach)
+        reach = max((x for x in (reach, r and r["top"]) if x is not None), default=None)
+    w = Window.partitionBy("_range").orderBy("start")
+    before = F.greatest(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), lookup(ends))
+    chained = kept(placed.withColumn("_chain", F.when(before.isNull() | (F.col("start") > before), F.col("start"))))
+    for r in cut.each(chained, F.max("_chain").alias("last")):
+        begun.append(chain)
+        chain = chain if r is None or r["last"] is None else r["last"]
+    own = F.coalesce(F.max("_chain").over(w.rowsBetween(Window.unboundedPreceding, 0)), lookup(begun))
+    chained = chained.withColumn("_chain", own).withColumn("_range", cut.place("_chain"))
+    return chained.select("_range", *cols).groupBy("_range").applyInPandas(lambda pdf: merged(pdf), both.schema)
 
 
 def validate_gaps(df: DataFrame, gaps: DataFrame, keys=()) -> None:
@@ -115,7 +142,7 @@ def validate_gaps(df: DataFrame, gaps: DataFrame, keys=()) -> None:
     bad = placed.withColumn("_p", after).where("stop <= start OR start < _a OR stop > _b OR start < _p OR _a IS NULL")
     if not bad.isEmpty():
         raise ValueError("gaps must be disjoint, not empty and inside the record")
-    if not next_gap(df, gaps, keys).where("inside").isEmpty():
+    if not next_gap(df, gaps, keys, None if keys else df).where("inside").isEmpty():
         raise ValueError("a gap holds an observation")
 
 
@@ -124,24 +151,53 @@ def gap_table(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("length", F.col("stop") - F.col("start")).orderBy(F.desc("length"), "start")
 
 
-def next_gap(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
+def next_gap(df: DataFrame, gaps: DataFrame, keys=(), series: DataFrame | None = None) -> DataFrame:
     """``df`` with the next gap's start, the last time before it, the last gap's stop, and whether inside one.
 
-    One sorted pass over observations and gaps together, no range join.
+    One sorted pass over observations and gaps together, no range join. With
+    ``series``, which has the times of ``df``, that are the same for all ``keys``, a
+    long one is passed over in ranges; a range gets the last time and gap before it
+    and the first gap behind it.
     """
     extra = [c for c in df.columns if c not in (*keys, "t")]
     obs = df.select(*keys, "t", F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_gs"), F.lit(None).cast("long").alias("_ge"), F.struct(*(extra or ["t"])).alias("_x"))
     gap = gaps.select(*keys, F.col("start").alias("t"), F.lit(0).alias("_o"), F.col("start").alias("_gs"), F.col("stop").alias("_ge"), F.lit(None).cast(obs.schema["_x"].dataType).alias("_x"))
-    w = _series(keys, "t", "_o")
-    seen = obs.unionByName(gap).withColumn("_last", F.last(F.when(F.col("_o") == 1, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    both, by, cut = obs.unionByName(gap), keys, None if series is None else ranges(series)
+    if cut is not None:
+        both, by = both.withColumn("_range", cut.place("t")), [*keys, "_range"]
+    w = _series(by, "t", "_o")
+    last = F.last(F.when(F.col("_o") == 1, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     # backwards, as a frame that ends at the partition's end is computed anew for every row
-    ahead = _series(keys, F.desc("t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = _series(by, F.desc("t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
     nearest = F.last(F.when(F.col("_o") == 0, F.struct("_gs", "_last")), ignorenulls=True).over(ahead)
     behind = F.last("_ge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = seen.withColumns({"_n": nearest, "_b": behind}).where("_o = 1")
+    if cut is not None:
+        times, stops, starts, lasts = _around(cut, series, gaps)
+        last, behind = F.coalesce(last, lookup(times)), F.coalesce(behind, lookup(stops))
+        nearest = F.coalesce(nearest, F.when(lookup(starts).isNotNull(), F.struct(lookup(starts).alias("_gs"), lookup(lasts).alias("_last"))))
+    out = both.withColumn("_last", last).withColumns({"_n": nearest, "_b": behind}).where("_o = 1")
     return out.select(*keys, "t", *[F.col(f"_x.{c}").alias(c) for c in extra], F.col("_n._gs").alias("gap_start"), F.col("_n._last").alias("last_before"), F.coalesce(F.col("_b") > F.col("t"), F.lit(False)).alias("inside"), F.col("_b").alias("last_stop"))
 
 
+def _around(cut, series: DataFrame, gaps: DataFrame) -> tuple[list, list, list, list]:
+    """For each range: the last time and the last gap's stop before it, and the first gap behind it with the last time before that."""
+    held = cut.each(gaps.select("start", "stop").distinct().withColumn("_range", cut.place("start")), F.min("start").alias("first"), F.max_by("stop", "start").alias("stop"))
+    first = [g and g["first"] for g in held]
+    seen = cut.each(series.select("t").withColumn("_range", cut.place("t")), F.max("t").alias("last"), F.max(F.when(F.col("t") < lookup(first), F.col("t"))).alias("before"))
+    times, stops, time, stop = [], [], None, None
+    for g, r in zip(held, seen):
+        times.append(time)
+        stops.append(stop)
+        time, stop = r["last"] if r else time, g["stop"] if g else stop
+    starts, lasts, start, last = [], [], None, None
+    for g, r, time in reversed(list(zip(held, seen, times))):
+        starts.append(start)
+        lasts.append(last)
+        if g:
+            start, last = g["first"], time if r is None or r["before"] is None else r["before"]
+    return times, stops, starts[::-1], lasts[::-1]
+
+
 def classify(waits: DataFrame, gaps: DataFrame, keys=(), series: DataFrame | None = None) -> DataFrame:
     """Waits with ``class`` (1 exact, 2 gap-crossing, 3 right-censored), ``lower`` and ``upper``.
 
@@ -152,19 +208,21 @@ def classify(waits: DataFrame, gaps: DataFrame, keys=(), series: DataFrame | Non
 
     With ``series``, the frame the waits were made of, one series without keys is
     classified in place: its gaps, if they are few enough, are broadcast, and no
-    wait is sorted or moved. Otherwise waits and gaps are sorted by series and
-    threshold.
+    wait is sorted or moved. Otherwise its times and gaps are passed over in ranges,
+    and each wait learns from its time's row what it needs. Waits of series with
+    keys are sorted with their gaps by series and threshold.
     """
     if series is not None and not keys:
-        few = gaps.select("start", "stop").limit(BROADCAST_GAPS + 1).collect()
-        if len(few) <= BROADCAST_GAPS:
-            return _classified_in_place(waits, few, series)
-    deltas = F.broadcast(waits.select("delta").distinct())
-    by = [*keys, "delta"]
-    placed = next_gap(waits, gaps.crossJoin(deltas), by)
-    last = F.max("t").over(Window.partitionBy(*by))
+        few = gaps.select("start", "stop").limit(BROADCAST_GAPS + 1).toArrow()
+        if few.num_rows <= BROADCAST_GAPS:
+            return _classified_in_place(waits, few["start"].to_numpy(), series)
+        own = next_gap(series.select("t"), gaps, (), series).select(F.col("t").alias("_t"), "gap_start", "last_before")
+        out = waits.join(own, F.col("t") == F.col("_t"), "left").crossJoin(F.broadcast(series.agg(F.max("t").alias("last"))))
+    else:
+        deltas = F.broadcast(waits.select("delta").distinct())
+        by = [*keys, "delta"]
+        out = next_gap(waits, gaps.crossJoin(deltas), by).withColumn("last", F.max("t").over(Window.partitionBy(*by)))
     crossing = F.col("gap_start").isNotNull() & (F.col("gap_start") < F.col("t") + F.col("tau"))
-    out = placed.withColumn("last", last)
     open_ = F.col("tau") == 0
     return out.select(
         *waits.columns,
@@ -174,11 +232,11 @@ def classify(waits: DataFrame, gaps: DataFrame, keys=(), series: DataFrame | Non
     )
 
 
-def _classified_in_place(waits: DataFrame, few: list, series: DataFrame) -> DataFrame:
+def _classified_in_place(waits: DataFrame, few, series: DataFrame) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    starts = np.array(sorted(r["start"] for r in few), np.int64)
+    starts = np.sort(few).astype(np.int64)
 
     def latest(batches):
         for b in batches:
@@ -269,9 +327,9 @@ def segment_table(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     """Stretches without gap: segment, start, stop (one step after the last time), length, and the kinds around."""
     kinds = gaps.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"), "kind")
     # a segment's rows share the stop of the last gap before them
-    placed = next_gap(df.select(*keys, "t"), gaps, keys)
+    placed = next_gap(df.select(*keys, "t"), gaps, keys, None if keys else df.select("t"))
     runs = placed.groupBy(*keys, "last_stop").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("length"), F.max("gap_start").alias("gap_start"))
-    runs = runs.withColumn("segment", F.row_number().over(Window.partitionBy(*keys).orderBy("first")).cast("long"))
+    runs = numbered(runs if keys else kept(runs), keys, "first", "segment")
     before = kinds.select(*keys, F.col("_e").alias("last_stop"), F.col("kind").alias("kind_before"))
     after = kinds.select(*keys, F.col("_s").alias("gap_start"), F.col("kind").alias("kind_after"))
     out = join_series(join_series(runs, before, [*keys, "last_stop"], "left"), after, [*keys, "gap_start"], "left")
@@ -284,20 +342,23 @@ def erosion_weight(segments: DataFrame, k: int, keys=()) -> DataFrame:
     return segments.groupBy(*keys).agg(F.sum(F.greatest(F.col("length") - k, F.lit(0))).cast("long").alias("weight"))
 
 
+def _from_first(df: DataFrame, keys) -> DataFrame:
+    """The frame with ``_f``, the first observed row of its series."""
+    return join_series(df, df.groupBy(*keys).agg(F.min(F.when(F.col("x").isNotNull(), F.col("row"))).alias("_f")), keys)
+
+
 def index_axis(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     """The series on the axis of row ordinals, counted from the first observed row.
 
     ``df`` has row, t and x; rows without x keep their ordinal and become gaps.
     """
-    first = F.min(F.when(F.col("x").isNotNull(), F.col("row"))).over(Window.partitionBy(*keys))
-    return df.withColumn("_f", first).where("x IS NOT NULL").select(*keys, (F.col("row") - F.col("_f") + 1).alias("t"), F.col("t").alias("time_original"), "row", "x")
+    return _from_first(df, keys).where("x IS NOT NULL").select(*keys, (F.col("row") - F.col("_f") + 1).alias("t"), F.col("t").alias("time_original"), "row", "x")
 
 
 def index_gaps(df: DataFrame, gaps: DataFrame, keys=()) -> DataFrame:
     """Gaps of the index axis: declared ones by the rows they hold; those that hold none close."""
-    first = F.min(F.when(F.col("x").isNotNull(), F.col("row"))).over(Window.partitionBy(*keys))
-    rows = df.withColumn("_f", first).select(*keys, "t", (F.col("row") - F.col("_f") + 1).alias("i"), "x")
-    placed = next_gap(rows, gaps, keys).where("inside AND x IS NULL")
+    rows = _from_first(df, keys).select(*keys, "t", (F.col("row") - F.col("_f") + 1).alias("i"), "x")
+    placed = next_gap(rows, gaps, keys, None if keys else rows).where("inside AND x IS NULL")
     held = placed.groupBy(*keys, F.col("last_stop").alias("stop")).agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"))
     return join_series(held, gaps.select(*keys, "stop", "kind", "source"), [*keys, "stop"]).select(*keys, F.col("a").alias("start"), F.col("b").alias("stop"), "kind", "source")
 

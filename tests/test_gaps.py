@@ -1,4 +1,8 @@
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from passagelab.operators import distribution, gaps, passage
 
@@ -66,6 +70,52 @@ def test_merging(entries, expected):
     assert gaps.merge_gaps(entries) == expected
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_of_many(spark, monkeypatch):
+    """Chains of entries over the borders of ranges are merged whole, and no task has all entries."""
+    monkeypatch.setattr("passagelab.functions.neighbours.TASK_ROWS", 20)
+    rng, at, entries = random.Random(8), 0, []
+    for i in range(300):
+        at += rng.randint(0, 9)
+        entries.append((at, at + rng.choice([1, 2, 4, 4, 150 if i % 60 == 0 else 3]), rng.choice(["detected", "hole", "session"]), rng.choice("ab")))
+    df = spark.createDataFrame(entries, "start long, stop long, kind string, source string")
+    found = gaps.declare_gaps(df.where("kind = 'detected'"), df.where("kind <> 'detected'"))
+    assert sorted(map(tuple, found.collect())) == gaps.merge_gaps(entries)
+    assert "SinglePartition" not in plan(found)
+
+
+def test_merging_is_not_quadratic():
+    entries = [(10 * i, 10 * i + 5, kind, "") for i in range(60_000) for kind in ("detected", "hole")]
+    begun = time.time()
+    assert len(gaps.merge_gaps(entries)) == 60_000
+    assert time.time() - begun < 10
+
+
+def test_passes_over_ranges(spark, monkeypatch):
+    rng, at, rows = random.Random(9), 0, []
+    for i in range(400):
+        at += 1 if rng.random() < 0.8 or 100 < i < 180 else rng.randint(2, 40)
+        rows.append((at, rng.randint(0, 30)))
+    s = spark.createDataFrame(rows, "t long, q long").repartition(4)
+
+    def all_of():
+        found = spark.createDataFrame(gaps.detect_gaps(s).collect(), "start long, stop long, kind string, source string")
+        waits = passage.first_passage(s, ["3", "25"], 0, strategy="segment_tree")
+        frames = {"segments": gaps.segment_table(s, found), "next": gaps.next_gap(s, found, (), s), "classes": gaps.classify(waits, found, series=s), "described": gaps.describe(s, found).withColumn("gaps_by_kind", F.to_json("gaps_by_kind"))}
+        return frames, {k: sorted(map(str, df.collect())) for k, df in frames.items()}
+
+    _, expected = all_of()
+    for n in (1, 60):
+        monkeypatch.setattr("passagelab.functions.neighbours.TASK_ROWS", n)
+        monkeypatch.setattr(gaps, "BROADCAST_GAPS", n)
+        frames, found = all_of()
+        assert found == expected
+        assert all("SinglePartition" not in plan(frames[k]) for k in ("segments", "next"))
+
+
 def test_index_axis(spark):
     rows = [(i + 1, t, x) for i, (t, x) in enumerate(zip([1, 2, 3, 10, 11, 12, 13], [1.0, 2.0, 3.0, 4.0, 5.0, None, 7.0]))]
     df = spark.createDataFrame(rows, "row long, t long, x double")
