@@ -22,9 +22,11 @@ from ..functions.kernels import MaxTree, heap_search, sweep_many, sweep_search,
 from ..functions.neighbours import kept, numbered, with_top_after
 
 #: Rows up to which a whole series goes to one task.
-SERIES_ROWS = 2_000_000
+SERIES_ROWS = 500_000
 #: Rows of a tile of a longer series.
 TILE_ROWS = 1 << 16
+#: Rows that a task gives at once.
+BATCH_ROWS = 1 << 14
 #: Waits that one task ends in one tile.
 SLICE_ROWS = 1 << 18
 #: Rows from which on a range's maxima are broadcast instead of dealt out.
@@ -174,142 +176,180 @@ def _out_schema(df: DataFrame, keys) -> T.StructType:
 def _table(key_columns: list, names: list[str], delta: str, d: int, n, t, q, tau) -> pa.Table:
     size = len(t)
     cols = [pa.repeat(k, size) if isinstance(k, pa.Scalar) else k for k in key_columns]
-    return pa.table([*cols, pa.array([delta] * size, pa.string()), pa.array(np.full(size, d)), *(pa.array(x, pa.int64()) for x in (n, t, q, tau))], names=[*names, "delta", "d", "n", "t", "q", "tau"])
+    return pa.table([*cols, pa.repeat(pa.scalar(delta), size), pa.array(np.full(size, d)), *(pa.array(x, pa.int64()) for x in (n, t, q, tau))], names=[*names, "delta", "d", "n", "t", "q", "tau"])
+
+
+def _searched(search: Callable, q: np.ndarray, levels) -> Iterable[np.ndarray]:
+    """Positions for each threshold in turn."""
+    if search is sweep_search:
+        yield from sweep_many(q, [d for d, _ in levels])
+        return
+    tree = MaxTree(q) if search is tree_search else None
+    for d, _ in levels:
+        yield search(q, d) if tree is None else search(q, d, tree)
 
 
 def _by_series(search: Callable):
-    def run(df: DataFrame, found, keys=()) -> DataFrame:
-        keys, levels = list(keys), [(x.d, str(x)) for x in found]
-        named = df.select(*keys, "t", "q")
+    """A kernel for each series; long series go through it by tiles."""
 
-        def whole(table: pa.Table) -> pa.Table:
-            table = table.take(pc.sort_indices(table, sort_keys=[("t", "ascending")]))
-            if table["q"].null_count or table["t"].null_count:
-                raise ValueError("a series must have a time and a value in every row")
-            t, q = table["t"].to_numpy(), table["q"].to_numpy()
-            if (np.diff(t) <= 0).any():
-                raise ValueError("the times of a series must strictly increase")
-            n = np.arange(1, len(t) + 1)
-            keyed, tree, parts = [table[k][0] for k in keys], None, []
-            if search is tree_search:
-                tree = MaxTree(q)
-            swept = sweep_many(q, [d for d, _ in levels]) if search is sweep_search else None
-            for i, (d, delta) in enumerate(levels):
-                m = swept[i] if swept is not None else search(q, d, tree) if tree is not None else search(q, d)
-                tau = np.where(m >= 0, t[m] - t, 0)
-                parts.append(_table(keyed, keys, delta, d, n, t, q, tau))
-            return pa.concat_tables(parts)
-
-        grouped = named.groupBy(*keys) if keys else named.groupBy(F.lit(""))
-        return grouped.applyInArrow(whole if keys else lambda _, t: whole(t), _out_schema(df, keys))
+    def run(df: DataFrame, found, keys=()) -> DataFrame:
+        return by_length(df, found, keys, search)
 
     return run
 
 
-def tiles(df: DataFrame, found, keys=(), tile_rows: int = TILE_ROWS) -> DataFrame:
-    """For series of any length: sorted tiles, a tree over their maxima, and one more shuffle.
-
-    The rows are range-partitioned by key and time and packed into tiles. Most
-    waits end in their own tile. The others learn from the tree of tile maxima,
-    one number for each ``tile_rows`` rows, in which tile theirs ends, and meet it
-    there. No task holds more than one tile and what ends in it.
+def _whole(df: DataFrame, found, keys, search: Callable) -> DataFrame:
+    keys, levels = list(keys), [(x.d, str(x)) for x in found]
+    named = df.select(*keys, "t", "q")
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("t", "ascending")]))
+        if table["q"].null_count or table["t"].null_count:
+            raise ValueError("a series must have a time and a value in every row")
+        t, q = table["t"].to_numpy(), table["q"].to_numpy()
+        if (np.diff(t) <= 0).any():
+            raise ValueError("the times of a series must strictly increase")
+        n = np.arange(1, len(t) + 1)
+        keyed, parts = [table[k][0] for k in keys], []
+        for (d, delta), m in zip(levels, _searched(search, q, levels)):
+            parts.append(_table(keyed, keys, delta, d, n, t, q, np.where(m >= 0, t[m] - t, 0)))
+        return pa.concat_tables(parts)
+
+    grouped = named.groupBy(*keys) if keys else named.groupBy(F.lit(""))
+    return grouped.applyInArrow(whole if keys else lambda _, t: whole(t), _out_schema(df, keys))
+
+
+def _runs(table: pa.Table, keys) -> np.ndarray:
+    """Where the series of a sorted table begin, and its end."""
+    same = np.ones(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        c = table[k].combine_chunks()
+        x, y = c.slice(0, len(c) - 1), c.slice(1)
+        equal = pc.fill_null(pc.equal(x, y), False)
+        same &= pc.or_(equal, pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.flatnonzero(~same) + 1, table.num_rows]
+
+
+def tiles(df: DataFrame, found, keys=(), tile_rows: int = TILE_ROWS, search: Callable = tree_search) -> DataFrame:
+    """For series of any length and number: sorted tiles, a tree over maxima, and one more shuffle.
+
+    The rows are range-partitioned by key and time and packed into tiles, which
+    hold many short series or a part of a long one. Most waits end in their own
+    tile, where ``search`` finds them. A series that goes on in the next tile
+    learns from the tree of its tiles' maxima, one number for each, in which tile
+    an open wait ends, and meets it there. No task holds more than one tile and
+    what ends in it, and the driver knows of the series at tiles' edges only.
     """
     keys, levels = list(keys), [(x.d, str(x)) for x in found]
     spark = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
-    packed = T.StructType([*key_fields, *(T.StructField(c, T.LongType()) for c in ("part", "tile", "rows", "first", "top")), *(T.StructField(c, T.BinaryType()) for c in ("ts", "qs"))])
+    packed = T.StructType([*(T.StructField(c, T.LongType()) for c in ("part", "number", "head_rows", "head_top", "tail_rows", "tail_top")), *(T.StructField(c, T.BinaryType()) for c in ("head", "tail", "content"))])
 
     def pack(batches):
         from pyspark import TaskContext
 
-        part, number, held = TaskContext.get().partitionId(), 0, None
+        part, number, held, count = TaskContext.get().partitionId(), 0, [], 0
 
-        def made(t: pa.Table):
+        def made(table: pa.Table):
             nonlocal number
-            ts, qs = t["t"].to_numpy(), t["q"].to_numpy()
             number += 1
-            return pa.RecordBatch.from_pydict({**{k: t[k].slice(0, 1).combine_chunks() for k in keys}, "part": [part], "tile": [part << 40 | number], "rows": [len(ts)], "first": [int(ts[0])], "top": [int(qs.max())], "ts": [ts.tobytes()], "qs": [qs.tobytes()]})
+            table = table.combine_chunks()
+            if table["q"].null_count or table["t"].null_count:
+                raise ValueError("a series must have a time and a value in every row")
+            edges, q, t = _runs(table, keys), table["q"].to_numpy(), table["t"].to_numpy()
+            inside = np.diff(t) <= 0
+            inside[edges[1:-1] - 1] = False
+            if inside.any():
+                raise ValueError("the times of a series must strictly increase")
+            ends = {}
+            for name, (a, b) in (("head", edges[:2]), ("tail", edges[-2:])):
+                ends |= {name: [repr([table[k][int(a)].as_py() for k in keys]).encode()], f"{name}_rows": [int(b - a)], f"{name}_top": [int(q[a:b].max())]}
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "content": [out.getvalue().to_pybytes()], **ends}).select(packed.names)
 
         for b in batches:
-            table = pa.Table.from_batches([b])
-            held = table if held is None else pa.concat_tables([held, table])
-            cuts = [0]
-            same = np.ones(max(0, held.num_rows - 1), bool)
-            for k in keys:
-                c = held[k].combine_chunks()
-                x, y = c.slice(0, len(c) - 1), c.slice(1)
-                equal = pc.fill_null(pc.equal(x, y), False)
-                same &= pc.or_(equal, pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
-            edges = [*(np.flatnonzero(~same) + 1).tolist(), held.num_rows]
-            for e in edges:
-                while e - cuts[-1] > tile_rows:
-                    cuts.append(cuts[-1] + tile_rows)
-                if e < held.num_rows:
-                    cuts.append(e)
-            for x, y in zip(cuts, cuts[1:]):
-                yield made(held.slice(x, y - x))
-            held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield made(held)
+            at = 0
+            while at < b.num_rows:
+                took = min(b.num_rows - at, tile_rows - count)
+                held.append(b.slice(at, took))
+                at, count = at + took, count + took
+                if count == tile_rows:
+                    yield made(pa.Table.from_batches(held))
+                    held, count = [], 0
+        if count:
+            yield made(pa.Table.from_batches(held))
 
     order = [*keys, "t"]
     rows = df.select(*keys, "t", "q").repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = rows.mapInArrow(pack, packed).checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows.mapInArrow(pack, packed).persist()
-    directory = cut.select(*keys, "tile", "rows", "first", "top").limit(MAX_TILES + 1).collect()
+    cut = kept(rows.mapInArrow(pack, packed))
+    directory = sorted(cut.drop("content").limit(MAX_TILES + 1).collect())
     if len(directory) > MAX_TILES:
         raise ValueError(f"more than {MAX_TILES} tiles: raise tile_rows")
-    series: dict[tuple, list] = {}
-    for r in directory:
-        series.setdefault(tuple(r[: len(keys)]), []).append((r["first"], r["tile"], r["rows"], r["top"]))
-    place: dict[int, tuple[int, int, int]] = {}
-    listed = []
-    for s, own in enumerate(series.values()):
-        own.sort()
-        before = 0
-        for i, (_, tile, count, _) in enumerate(own):
-            place[tile] = (s, i, before)
-            before += count
-        listed.append((np.array([x[3] for x in own]), np.array([x[1] for x in own])))
-    shared = spark.sparkContext.broadcast((place, listed))
+    # a chain is the tiles that one series goes through; for each tile the rows of its first series before it, and the chain that its last one goes on in
+    goes_on = [a["tail"] == b["head"] for a, b in zip(directory, directory[1:])] + [False]
+    place, chains, rows_before = {}, [], 0
+    for i, r in enumerate(directory):
+        continued, one = i > 0 and goes_on[i - 1], r["head"] == r["tail"]
+        before = rows_before if continued else 0
+        if continued:
+            chains[-1][0].append(r["head_top"])
+            chains[-1][1].append(i)
+        if goes_on[i] and not (continued and one):
+            chains.append(([r["tail_top"]], [i]))
+        rows_before = r["tail_rows"] + (before if one else 0)
+        place[r["part"], r["number"]] = (i, before, len(chains) - 1, len(chains[-1][0]) - 1) if goes_on[i] else (i, before, -1, -1)
+    shared = spark.sparkContext.broadcast((place, [(np.array(tops, np.int64), np.array(own, np.int64)) for tops, own in chains]))
     names = [*keys, "delta", "d", "n", "t", "q", "tau"]
     state = T.StructType([*_out_schema(df, keys).fields, T.StructField("tile", T.LongType())])
 
+    def opened(content) -> pa.Table:
+        return pa.ipc.open_stream(pa.BufferReader(content)).read_all().combine_chunks()
+
     def inside(batches):
-        place, listed = shared.value
-        trees: dict[int, MaxTree] = {}
+        place, chains = shared.value
+        tree = (None, None)
         for b in batches:
-            for i in range(b.num_rows):
-                tile = b.column("tile")[i].as_py()
-                s, k, before = place[tile]
-                t, q = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("ts", "qs"))
-                n, keyed, own = np.arange(1, len(t) + 1) + before, [b.column(c)[i] for c in keys], MaxTree(q)
-                if s not in trees:
-                    trees[s] = MaxTree(listed[s][0])
-                for d, delta in levels:
-                    m = tree_search(q, d, own)
+            for part, number, content in zip(b.column("part").to_pylist(), b.column("number").to_pylist(), b.column("content")):
+                _, before, chain, k = place[part, number]
+                table = opened(content.as_buffer())
+                edges, t, q = _runs(table, keys), table["t"].to_numpy(), table["q"].to_numpy()
+                size = np.diff(edges)
+                n, end, keyed = np.arange(1, len(t) + 1) - np.repeat(edges[:-1], size), np.repeat(edges[1:], size), [table[c] for c in keys]
+                n[: edges[1]] += before
+                if chain >= 0 and tree[0] != chain:
+                    tree = (chain, MaxTree(chains[chain][0]))
+                for (d, delta), m in zip(levels, _searched(search, q, levels)):
+                    # what is found in another series is none
+                    ended = (m >= 0) & (m < end)
                     to = np.full(len(q), -1, np.int64)
-                    open_ = np.flatnonzero(m < 0)
-                    later = trees[s].first_at_least(np.full(len(open_), k + 1), q[open_] + d)
-                    to[open_[later >= 0]] = listed[s][1][later[later >= 0]]
-                    out = _table(keyed, keys, delta, d, n, t, q, np.where(m >= 0, t[m] - t, 0)).append_column("tile", pa.array(to))
-                    yield from out.to_batches()
+                    if chain >= 0:
+                        open_ = edges[-2] + np.flatnonzero(~ended[edges[-2] :])
+                        later = tree[1].first_at_least(np.full(len(open_), k + 1), q[open_] + d)
+                        to[open_[later >= 0]] = chains[chain][1][later[later >= 0]]
+                    out = _table(keyed, keys, delta, d, n, t, q, np.where(ended, t[m] - t, 0)).append_column("tile", pa.array(to))
+                    yield from out.to_batches(max_chunksize=BATCH_ROWS)
 
     def reached(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left.select(names)
-        t, q = (np.frombuffer(right[c][0].as_buffer(), np.int64) for c in ("ts", "qs"))
+        # the series is the first of that tile
+        table = opened(right["content"].combine_chunks()[0].as_buffer())
+        t, q = table["t"].to_numpy(), table["q"].to_numpy()
         target = left["q"].to_numpy() + left["d"].to_numpy()
         m = MaxTree(q).first_at_least(np.zeros(len(target), np.int64), target)
         return left.select(names).set_column(names.index("tau"), "tau", pa.array(t[m] - left["t"].to_numpy()))
 
     first = cut.mapInArrow(inside, state)
     done = first.where("tile < 0").drop("tile")
+    if not chains:
+        return done
     # waits that end in one tile come from anywhere before it; they are dealt over as many slices as they need
     crossing = first.where("tile >= 0")
-    counts = crossing.groupBy("tile").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))
-    counts = F.broadcast(spark.createDataFrame(counts.collect(), "tile long, slices int"))
-    crossing = crossing.join(counts, "tile").withColumn("slice", F.pmod(F.xxhash64("n"), F.col("slices")).cast("int")).select(*names, "tile", "slice")
-    copies = cut.join(counts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "ts", "qs")
+    counts = {r["tile"]: -(-r["count"] // SLICE_ROWS) for r in crossing.groupBy("tile").count().collect()}
+    slices = F.broadcast(spark.createDataFrame([(*at, i, counts[i]) for at, (i, *_) in place.items() if i in counts], "part long, number long, tile long, slices int"))
+    crossing = crossing.join(slices.drop("part", "number"), "tile").withColumn("slice", F.pmod(F.xxhash64("n"), F.col("slices")).cast("int")).select(*names, "tile", "slice")
+    copies = cut.join(slices, ["part", "number"]).select("tile", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "content")
     found_far = crossing.groupBy("tile", "slice").cogroup(copies.groupBy("tile", "slice")).applyInArrow(reached, _out_schema(df, keys))
     return done.unionAll(found_far)
 
@@ -324,16 +364,16 @@ def choose_strategy(df: DataFrame, keys=(), rows: int = SERIES_ROWS) -> str:
     return "segment_tree" if longest <= min(rows, SERIES_ROWS) else "tiles"
 
 
-def by_length(df: DataFrame, found: list[Threshold], keys) -> DataFrame:
+def by_length(df: DataFrame, found: list[Threshold], keys, search: Callable = tree_search) -> DataFrame:
     """Long series in tiles, all others whole; with keys both can be there."""
     if not keys:
-        return _strategies[choose_strategy(df)](df, found, ())
+        return (_whole if choose_strategy(df) == "segment_tree" else tiles)(df, found, (), search=search)
     long = df.groupBy(*keys).count().where(F.col("count") > SERIES_ROWS).select(*[F.col(k).alias(f"_{k}") for k in keys])
     if long.isEmpty():
-        return _strategies["segment_tree"](df, found, keys)
+        return _whole(df, found, keys, search)
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    short = _strategies["segment_tree"](df.join(long, on, "left_anti"), found, keys)
-    return short.unionByName(_strategies["tiles"](df.join(long, on, "left_semi"), found, keys))
+    short = _whole(df.join(long, on, "left_anti"), found, keys, search)
+    return short.unionByName(tiles(df.join(long, on, "left_semi"), found, keys, search=search))
 
 
 def first_passage(df: DataFrame, deltas, digits: int, keys=(), strategy: str = "auto", check: bool = True) -> DataFrame:

@@ -73,6 +73,33 @@ def test_long_series_over_small_tiles(spark):
     assert [found[i + 1] for i in range(len(q))] == [m - i if m >= 0 else 0 for i, m in enumerate(expected.tolist())]
 
 
+@pytest.mark.parametrize("name", ["sweep", "segment_tree", "streaming", "tiles"])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_kernels_of_long_series_by_tiles(spark, monkeypatch, name, keyed):
+    """Long and short series in one frame, cut anywhere; what a task holds doesn't follow a series' length."""
+    monkeypatch.setattr(passage, "SERIES_ROWS", 100)
+    monkeypatch.setattr(passage, "SLICE_ROWS", 50)
+    monkeypatch.setattr(passage.tiles, "__defaults__", ((), 64, *passage.tiles.__defaults__[2:]))
+    rng, rows, expected = np.random.default_rng(7), [], {}
+    for key, size in ((None, 150), ("a", 1), ("b", 700), ("c", 3), ("d", 64), ("e", 128), ("f", 90)) if keyed else (("b", 700),):
+        q, t = np.cumsum(rng.integers(-3, 4, size)), np.cumsum(rng.integers(1, 5, size))
+        rows += [(key, int(x), int(y)) for x, y in zip(t, q)]
+        for d in (1, 12):
+            m = heap_search(q, d)
+            expected |= {(key, d, i + 1): int(t[j] - t[i]) if j >= 0 else 0 for i, j in enumerate(m)}
+    df = spark.createDataFrame(rows, "k string, t long, q long").repartition(3)
+    found = passage.first_passage(df if keyed else df.drop("k"), ["1", "12"], 0, ["k"] if keyed else [], name)
+    assert {(r["k"] if keyed else "b", r["d"], r["n"]): r["tau"] for r in found.collect()} == expected
+    assert "MapInArrow" in plan(found)
+
+
+def test_tiles_hold_many_short_series(spark):
+    df = spark.range(3000).selectExpr("id div 3 as k", "id % 3 as t", "id % 3 as q")
+    found = passage.tiles(df, passage.thresholds_of("1", 0), ["k"])
+    assert found.where("tau = 1").count() == 2000
+    assert "cogroup" not in plan(found).lower()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
