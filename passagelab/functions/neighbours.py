@@ -80,8 +80,12 @@ def ranges(df: DataFrame, order: str = "t", keys=()) -> Ranges | None:
     """The ranges of a long series without keys; None where a series is sorted as a whole."""
     if keys:
         return None
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    return None if n <= TASK_ROWS else Ranges(df, order, low, high)
+    low, high, n, valued = df.agg(F.min(order), F.max(order), F.count("*"), F.count(order)).first()
+    if n <= TASK_ROWS or low is None:
+        return None
+    cut = Ranges(df, order, low, high)
+    cut.totals[0] += n - valued
+    return cut
 
 
 def numbered(df: DataFrame, keys=(), order: str = "t", out: str = "n") -> DataFrame:
@@ -123,3 +127,18 @@ def with_top_after(df: DataFrame, column: str, out: str, keys=(), own: bool = Tr
         later.append(top)
         top = max((x for x in (top, r and r["top"]) if x is not None), default=None)
     return ranged.withColumn(out, F.greatest(F.max(column).over(by), lookup(later[::-1]))).drop("_range")
+
+
+def over_rows(df: DataFrame, made, before: int, after: int = 0, keys=(), order: str = "row") -> DataFrame:
+    """``made(df, window)``, a window by ``order`` for frames that reach so many rows back and ahead.
+
+    A long series without keys is cut into stretches of rows, each with copies of as
+    many rows on either side.
+    """
+    if ranges(df, order, keys) is None:
+        return made(df, Window.partitionBy(*keys).orderBy(order))
+    size = max(TASK_ROWS, before, after)
+    place, home = F.expr(f"(_n - 1) % {size}"), F.expr(f"(_n - 1) div {size}")
+    copies = F.array_compact(F.array(home, F.when(place >= size - before, home + 1), F.when(place < after, home - 1)))
+    held = numbered(df, (), order, "_n").withColumns({"_home": home, "_range": F.explode(copies)})
+    return made(held, Window.partitionBy("_range").orderBy(order)).where("_range = _home").drop("_n", "_home", "_range")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import join_series
-from ..functions.neighbours import with_previous
+from ..functions.neighbours import over_rows, with_previous
 
 TIE_POLICIES = ("error", "first", "last", "mean")
 
@@ -83,7 +83,7 @@ def collapse_ties(df: DataFrame, policy: str = "error", keys=()) -> DataFrame:
     """One row for each time; times must not decrease. Missing values don't count where others are there."""
     if policy not in TIE_POLICIES:
         raise ValueError(f"tie policy must be one of {TIE_POLICIES}")
-    back = df.withColumn("_b", F.lag("t").over(_order(keys)))
+    back = with_previous(df, "t", "_b", keys, "row")
     worst = back.agg(F.count_if(F.col("t") < F.col("_b")), F.count_if(F.col("t") == F.col("_b"))).first()
     if worst[0]:
         raise ValueError("times decrease")
@@ -121,8 +121,8 @@ def trailing_mean_fluctuations(df: DataFrame, window: int, denominator: str = "m
             obs = _per_series(obs, keys, _shift=F.greatest(F.lit(0.0), 1.0 - F.min("x")))
         else:
             obs = obs.withColumn("_shift", F.lit(0.0 if offset == "none" else float(offset)))
-        mean = F.avg(F.col("x") + F.col("_shift")).over(_order(keys).rowsBetween(-window, -1))
-        obs = obs.withColumn("_m", mean).withColumn("_d", F.col("x") + F.col("_shift") - F.col("_m"))
+        mean = F.avg(F.col("x") + F.col("_shift"))
+        obs = over_rows(obs, lambda rows, w: rows.withColumn("_m", mean.over(w.rowsBetween(-window, -1))), window, 0, keys).withColumn("_d", F.col("x") + F.col("_shift") - F.col("_m"))
         first = F.col("_m").isNull()
         if denominator == "none":
             return obs.withColumn("x", F.when(first, 0.0).otherwise(F.col("_d")))
@@ -155,8 +155,8 @@ def log_levels(df: DataFrame, reference="first", keys=()) -> DataFrame:
 
     def made(obs):
         obs = _require(obs, F.col("x") <= 0, "log_levels needs positive values")
-        ref = F.first("x").over(_order(keys).rowsBetween(Window.unboundedPreceding, 0)) if reference == "first" else F.lit(float(reference))
-        return obs.withColumn("x", 100.0 * F.log(F.col("x") / ref))
+        obs = _per_series(obs, keys, _ref=F.min_by("x", "row")) if reference == "first" else obs.withColumn("_ref", F.lit(float(reference)))
+        return obs.withColumn("x", 100.0 * F.log(F.col("x") / F.col("_ref")))
 
     return _observed(df, keys, made)
 
@@ -171,7 +171,8 @@ def detrend_moving_average(df: DataFrame, window: int, keys=()) -> DataFrame:
     if window < 1 or window % 2 == 0:
         raise ValueError("the window must be odd")
     h = window // 2
-    return _observed(df, keys, lambda obs: obs.withColumn("x", F.col("x") - F.avg("x").over(_order(keys).rowsBetween(-h, h))))
+    centred = lambda rows, w: rows.withColumn("x", F.col("x") - F.avg("x").over(w.rowsBetween(-h, h)))
+    return _observed(df, keys, lambda obs: over_rows(obs, centred, h, h, keys))
 
 
 def remove_rows(df: DataFrame, remove: Column, splice: bool = False, keys=()) -> DataFrame:

@@ -142,3 +142,16 @@ def test_ranges_of_a_long_series(spark, monkeypatch, rows):
     values = [float(i * i % 11) for i in range(60)]
     assert out(prepare.differences(f)) == [None, *(b - a for a, b in zip(values, values[1:]))]
     assert neighbours.with_previous(f.limit(0), "t", "p").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 10])
+def test_means_over_stretches_of_a_long_series(spark, monkeypatch, rows):
+    """A mean reaches over the borders of stretches, and no task sorts the whole series."""
+    f = frame(spark, [float(i * i % 11) + 1 if i % 7 else None for i in range(60)]).repartition(4)
+    steps = [lambda: prepare.trailing_mean_fluctuations(f, 24, offset="auto"), lambda: prepare.trailing_mean_fluctuations(f, 3, "none"), lambda: prepare.detrend_moving_average(f, 9), lambda: prepare.log_levels(f)]
+    expected = [out(step()) for step in steps]
+    monkeypatch.setattr("passagelab.functions.neighbours.TASK_ROWS", rows)
+    for step, before in zip(steps, expected):
+        made = step()
+        assert out(made) == before
+        assert "windowspecdefinition(row" not in made._jdf.queryExecution().executedPlan().toString()
