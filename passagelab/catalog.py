@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,10 +153,19 @@ def _workspace(spark: SparkSession, label: str) -> str:
 
 
 def _written_lines(s, d, name: str, header: str, line) -> str:
-    """The events as one text file, a line each in their order; returns its folder."""
+    """The events as text files in their order, a line each, behind the header that every file has; returns their folder."""
     path = _workspace(s, name)
-    lines = events(s, d).select(F.col("event_id").alias("o"), line.alias("value")).unionAll(s.createDataFrame([(-1, header)], "o long, value string"))
-    lines.repartitionByRange(1, "o").sortWithinPartitions("o").select("value").write.text(path)
+    lines = events(s, d).select(F.col("event_id").alias("o"), line.alias("value"))
+
+    def headed(batches):
+        first = [header]
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": first + b.column("value").to_pylist()})
+            first = []
+        if first:
+            yield pa.RecordBatch.from_pydict({"value": first})
+
+    lines.repartitionByRange("o").sortWithinPartitions("o").select("value").mapInArrow(headed, "value string").write.text(path)
     return path
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.neighbours import numbered
+
 # Fixed values of the data model: nanoseconds in a unit of the time axis.
 UNIT_NANOSECONDS = {"nanosecond": 1, "microsecond": 1000, "millisecond": 10**6, "second": 10**9, "minute": 60 * 10**9, "hour": 3600 * 10**9, "day": 86400 * 10**9}
 TIME_UNITS = ("sample", *UNIT_NANOSECONDS)
@@ -147,6 +149,8 @@ def _cells(spark: SparkSession, path: str, form: str, o: SeriesOptions) -> DataF
         df = spark.read.parquet(path)
         if not o.order_column:
             raise ValueError("a Parquet series needs order_column")
+        if df.schema[o.order_column].dataType.typeName() in ("integer", "long", "short", "byte"):
+            return numbered(df, (), o.order_column, "row")
         return df.withColumn("row", F.row_number().over(Window.orderBy(o.order_column)).cast("long"))
     if form == "arrow":
         return _arrow_tables(spark, path)
@@ -203,9 +207,8 @@ def read_series(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def sample_axis(df: DataFrame) -> DataFrame:
     """Times of a series without any: places counted from the first observed row; missing rows keep theirs."""
-    first = F.min(F.when(F.col("x").isNotNull(), F.col("row"))).over(Window.partitionBy())
-    last = F.max(F.when(F.col("x").isNotNull(), F.col("row"))).over(Window.partitionBy())
-    return df.withColumns({"_a": first, "_b": last}).where("row BETWEEN _a AND _b").select("row", (F.col("row") - F.col("_a") + 1).alias("t"), "x")
+    seen = F.when(F.col("x").isNotNull(), F.col("row"))
+    return df.crossJoin(F.broadcast(df.agg(F.min(seen).alias("_a"), F.max(seen).alias("_b")))).where("row BETWEEN _a AND _b").select("row", (F.col("row") - F.col("_a") + 1).alias("t"), "x")
 
 
 def read_declared_gaps(path: str) -> list[tuple[int, int, str, str]]:

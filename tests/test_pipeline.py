@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pyarrow as pa
@@ -228,3 +229,19 @@ def test_synthetic(spark):
     t = [r["t"] for r in synthetic.irregular_times(w).orderBy("row").collect()]
     assert all(a < b for a, b in zip(t, t[1:]))
     assert synthetic.iid_series(spark, 10, "exponential").where("x < 0").count() == 0
+
+
+@pytest.mark.parametrize("name", ["read_csv", "read_dat"])
+def test_text_is_written_in_ranges(spark, tmp_path, name):
+    """The events are written as several files in their order, and read back in it; no task sorts them all."""
+    from passagelab import catalog
+
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=977 * i), "error" if i % 5 == 0 else "view", i / 8) for i in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = catalog.queries()[name](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found.inputFiles()) > 1
+    assert [(r["row"], r["x"]) for r in found.orderBy("row").collect()] == [(i + 1, None if name == "read_csv" and i % 5 == 0 else i / 8) for i in range(2000)]
