@@ -187,11 +187,11 @@ def _read_dat(s, d):
 def _collection(s, d) -> Collection:
     """A collection of the flagship series, as the pipeline writes it."""
     c = Collection(s, _workspace(s, "collection"))
-    o = observed_series(s, d)
-    w = _classified(s, d)
+    o, deltas = observed_series(s, d), [f"{x}.00" for x in DELTAS]
+    w = c.write_waits(_classified(s, d), deltas)
     dist = distribution.empirical_distribution(w)
     c.write_series(o, gaps.detect_gaps(o), _segments(s, d))
-    c.write_partitions(dist, distribution.censoring_counts(w), distribution.accounting(w).join(distribution.index_entry(dist), "delta", "left"), [f"{x}.00" for x in DELTAS], w)
+    c.write_partitions(dist, distribution.censoring_counts(w), distribution.accounting(w).join(distribution.index_entry(dist), "delta", "left"), deltas)
     return c
 
 

@@ -166,7 +166,8 @@ a row for each threshold; `metadata.json` and `sessions` where it all comes from
         """Replace the partitions of these thresholds only; what was there is moved aside."""
         for delta in deltas:
             self.folder.move_aside(f"{name}/delta={delta}")
-        out = df.where(F.col("delta").isin(deltas)).repartition("delta").write.mode("append").partitionBy("delta")
+        # a threshold's rows go to one task only if they are few
+        out = df.where(F.col("delta").isin(deltas)).hint("rebalance", "delta").write.mode("append").partitionBy("delta")
         out.option("header", True).csv(f"{self.path}/{name}") if self.form == "csv" else out.parquet(f"{self.path}/{name}")
 
     def write_partitions(self, distribution: DataFrame, censoring: DataFrame, index: DataFrame, deltas: list[str], waits: DataFrame | None = None) -> None:
@@ -180,6 +181,13 @@ a row for each threshold; `metadata.json` and `sessions` where it all comes from
             self._write(waits, "waiting_times", deltas)
         self._write(index, "index", deltas)
 
+    def write_waits(self, waits: DataFrame, deltas: list[str]) -> DataFrame:
+        """Write the waits of some thresholds before what is counted from them, and give them as they are stored."""
+        for delta in deltas:
+            self.folder.move_aside(f"index/delta={delta}")
+        self._write(waits, "waiting_times", deltas)
+        return self._read("waiting_times").where(F.col("delta").isin(deltas)).select(*waits.columns)
+
     def _read(self, name: str) -> DataFrame | None:
         if not self._exists(name):
             return None

@@ -245,3 +245,15 @@ def test_text_is_written_in_ranges(spark, tmp_path, name):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(found.inputFiles()) > 1
     assert [(r["row"], r["x"]) for r in found.orderBy("row").collect()] == [(i + 1, None if name == "read_csv" and i % 5 == 0 else i / 8) for i in range(2000)]
+
+
+def test_many_waits_of_a_threshold_are_dealt_over_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        c = storage.Collection(spark, f"file://{tmp_path}/c")
+        waits = spark.range(20_000).selectExpr("id * 977 % 20011 as tau", "cast(id % 2 as string) as delta").repartition(8)
+        stored = c.write_waits(waits, ["0", "1"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, waits.collect()))
+    assert len(list((tmp_path / "c" / "waiting_times" / "delta=1").glob("*.parquet"))) > 1
