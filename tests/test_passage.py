@@ -105,7 +105,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize("kind", ["walk", "spike"])
-@pytest.mark.parametrize("name", ["block"])
+@pytest.mark.parametrize("name", ["block", "guarded", "theta"])
 def test_joins_of_a_long_series(spark, monkeypatch, name, kind):
     monkeypatch.setattr("passagelab.functions.neighbours.TASK_ROWS", 500)
     rng = np.random.default_rng(6)
